@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES, column:
         if b.num_rows == 0:
             continue
         col = b.column(b.schema.get_field_index(column))
-        size = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        size = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         if int(size.sum()) <= limit:
             yield b
             continue
