@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from geomosaic import session
-from geomosaic.llm import byte_bpe, common, url_filter
+from geomosaic.llm import byte_bpe, common, fingerprint, media, token_counts, url_filter
 
 #: Rules of op9, as given.
 URL_RULES = [
@@ -24,6 +24,19 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return common.table(spark, sf_dir, "documents")
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited(spark, _documents(spark, sf_dir))
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = _documents(spark, sf_dir), session.scratch(spark, "media")
+    return media.read_back(media.headers(media.store(docs, folder), folder), folder)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.maintained(spark, _documents(spark, sf_dir), session.scratch(spark, "rollup"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -52,10 +65,25 @@ WITH cut AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM best
 """
 
+_OP3_SQL = r"""
+WITH d AS (
+  SELECT source, lang, trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS t FROM documents
+), c AS (
+  SELECT source, lang, 'utf8_bytes_v1' AS tokenizer_version, strlen(t) AS n FROM d WHERE t <> ''
+  UNION ALL
+  SELECT source, lang, 'space_words_v1', len(string_split(t, ' ')) FROM d WHERE t <> ''
+)
+SELECT source, lang, tokenizer_version, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY ALL
+"""
+
 QUERIES = {
+    "op1_fingerprint": op1_fingerprint,
+    "op2_media": op2_media,
+    "op3_token_counts": op3_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_url_filter": op9_url_filter,
 }
 ORACLES = {
+    "op3_token_counts": _OP3_SQL,
     "op9_url_filter": _OP9_SQL,
 }
