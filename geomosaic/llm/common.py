@@ -54,3 +54,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * M1
     x = (x ^ (x >> np.uint64(27))) * M2
     return x ^ (x >> np.uint64(31))
+
+
+#: Each bit of a byte in a byte of its own: sums of up to 255 rows fit.
+_SPREAD = np.array([sum(((v >> (7 - i)) & 1) << (8 * i) for i in range(8)) for v in range(256)], np.uint64)
+
+
+def bit_sums(bits: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For each group of rows (from begin[i] up to begin[i + 1]): how many have each bit set. bits: (n, k) bytes."""
+    size = np.diff(np.append(begin, len(bits)))
+    parts = -(-size // 255)
+    first = np.cumsum(parts) - parts
+    cuts = np.repeat(begin - 255 * first, parts) + 255 * np.arange(int(parts.sum()))
+    some = np.ascontiguousarray(np.add.reduceat(_SPREAD[bits], cuts, axis=0)).view(np.uint8)
+    return np.add.reduceat(some, first, axis=0, dtype=np.int32)

@@ -49,20 +49,6 @@ def _lookup(words: list[str]) -> np.ndarray:
     return np.array([_WORDS[w] for w in words], np.uint64)
 
 
-#: Each bit of a byte in a byte of its own: sums of up to 255 rows fit.
-_SPREAD = np.array([sum(((v >> (7 - i)) & 1) << (8 * i) for i in range(8)) for v in range(256)], np.uint64)
-
-
-def _bit_sums(bits: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """For each group of rows (from begin[i] up to begin[i + 1]): how many have each bit set. bits: (n, k) bytes."""
-    size = np.diff(np.append(begin, len(bits)))
-    parts = -(-size // 255)
-    first = np.cumsum(parts) - parts
-    cuts = np.repeat(begin - 255 * first, parts) + 255 * np.arange(int(parts.sum()))
-    some = np.add.reduceat(_SPREAD[bits], cuts, axis=0).view(np.uint8)
-    return np.add.reduceat(some, first, axis=0, dtype=np.int32)
-
-
 def paragraph_vectors(paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(n, 8) uint64 and (n, 128) uint16 lanes of single paragraphs."""
     n = len(paragraphs)
@@ -91,7 +77,7 @@ def paragraph_vectors(paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         wide = np.stack([common.mix(part), common.mix(part + common.GOLD)], axis=1).view(np.uint8)
         begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         count = np.diff(np.append(begin, len(own)))
-        signs[own[begin]] += (2 * _bit_sums(wide, begin) - count[:, None]).astype(np.uint16)
+        signs[own[begin]] += (2 * common.bit_sums(wide, begin) - count[:, None]).astype(np.uint16)
     return lanes, signs
 
 

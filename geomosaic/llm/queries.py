@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from geomosaic import session
-from geomosaic.llm import byte_bpe, common, fingerprint, media, token_counts, url_filter
+from geomosaic.llm import byte_bpe, common, fingerprint, media, simhash, token_counts, url_filter
 
 #: Rules of op9, as given.
 URL_RULES = [
@@ -46,6 +46,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(common.table(spark, sf_dir, "pages"), URL_RULES, default="allow")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(spark, _documents(spark, sf_dir))
+
+
 _OP9_SQL = """
 WITH cut AS (
   SELECT page_id, CASE WHEN url IS NULL OR position('://' IN url) = 0 THEN '' ELSE substr(url, position('://' IN url) + 3) END AS rest
@@ -82,6 +86,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_url_filter": op9_url_filter,
+    "op10_simhash": op10_simhash,
 }
 ORACLES = {
     "op3_token_counts": _OP3_SQL,
