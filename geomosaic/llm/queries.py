@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from geomosaic import session
-from geomosaic.llm import byte_bpe, common, fingerprint, media, simhash, token_counts, url_filter
+from geomosaic.llm import byte_bpe, common, fingerprint, media, packing, simhash, token_counts, url_filter
 
 #: Rules of op9, as given.
 URL_RULES = [
@@ -41,6 +41,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, _documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.ship(spark)
     return url_filter.judge(common.table(spark, sf_dir, "pages"), URL_RULES, default="allow")
@@ -85,6 +89,7 @@ QUERIES = {
     "op2_media": op2_media,
     "op3_token_counts": op3_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_packing": op7_packing,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
 }
