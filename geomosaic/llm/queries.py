@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from geomosaic import session
-from geomosaic.llm import byte_bpe, common, fingerprint, media, packing, simhash, token_counts, url_filter
+from geomosaic.llm import byte_bpe, common, fingerprint, media, packing, quality, simhash, token_counts, toxicity, url_filter
 
 #: Rules of op9, as given.
 URL_RULES = [
@@ -37,6 +37,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.maintained(spark, _documents(spark, sf_dir), session.scratch(spark, "rollup"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(spark, _documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -45,6 +49,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(spark, _documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.ship(spark)
     return url_filter.judge(common.table(spark, sf_dir, "pages"), URL_RULES, default="allow")
@@ -88,8 +96,10 @@ QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_media": op2_media,
     "op3_token_counts": op3_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
+    "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
 }
