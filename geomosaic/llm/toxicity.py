@@ -1,6 +1,7 @@
-"""Toxicity: a counterfactual-regularised logistic classifier over word presence.
+"""Toxicity: a counterfactual-regularised logistic classifier over the presence of words and word beginnings.
 
-Features are chosen from a bounded sample of labelled rows: words whose share among toxic documents differs most clearly from
+Insults are inflected, so beside whole words a text's features are the beginnings of its words (STEMS letters), and whether
+two or three different words share one. Features are chosen from a bounded sample of labelled rows: those whose share among toxic documents differs most clearly from
 their share among the others (a two-proportion z value), with copies of one document counting as one (documents with the same
 minimum shingle hash share a weight of 1). Identity terms are always features.
 
@@ -14,6 +15,7 @@ The labelled sample is at most MAX_LABELLED rows (smallest hash of doc_id), a do
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -26,9 +28,12 @@ from pyspark.sql import functions as F
 from geomosaic import session
 from geomosaic.llm import common
 
-#: Labelled rows that a model is fitted on, features that it has, and the least z value of a word.
+#: Labelled rows that a model is fitted on, features that it has, and the least z value of a feature.
 MAX_LABELLED, MAX_FEATURES, LEAST_Z = 20_000, 400, 4.0
 THRESHOLD = 0.7
+STEMS, SEVERAL = (4, 5, 6), (2, 3)
+#: Entries of a model's word cache; beyond it the cache starts anew.
+CACHE_ENTRIES = 300_000
 #: Terms that may be swapped for each other. A parameter; these are the defaults.
 IDENTITY_GROUPS = (
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
@@ -48,13 +53,34 @@ def words_of(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
+def features_of(words: set[str]) -> set[str]:
+    """The words; "abcd*" for a beginning; "abcd*2" if two different words share it, and so on."""
+    count = Counter([f"{w[:n]}*" for w in words for n in STEMS if len(w) > n])
+    return {*words, *count, *(f"{p}{n}" for p, c in count.items() if c > 1 for n in SEVERAL if c >= n)}
+
+
 @dataclass
 class Model:
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.stems = {w.partition("*")[0] + "*" for w in self.weights if "*" in w}
+        self.cache: dict[str, tuple[str, ...]] = {}
+
+    def _hits(self, word: str) -> tuple[str, ...]:
+        """What of the model's features (counts apart) a word brings."""
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache.clear()
+        own = (word,) if word in self.weights else ()
+        self.cache[word] = found = own + tuple(p for n in STEMS if len(word) > n and (p := f"{word[:n]}*") in self.stems)
+        return found
+
     def logit(self, words: set[str]) -> float:
-        return self.bias + sum([self.weights[w] for w in words & self.weights.keys()])
+        cache = self.cache
+        count = Counter([f for w in words for f in (cache[w] if w in cache else self._hits(w))])
+        get = self.weights.get
+        return self.bias + sum([get(f, 0.0) + sum([get(f"{f}{n}", 0.0) for n in SEVERAL if c >= n]) for f, c in count.items()])
 
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.logit(words_of(text)), -30, 30))))
@@ -127,29 +153,29 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column
     sample = common.texts(docs).join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows of 12 bytes
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.chunks(batches):
+        for b in common.chunks(batches, 1 << 20):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("toxic")), pa.array([_shingle_min(t) for t in texts], pa.int64()), pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string()))],
-                ["doc_id", "toxic", "copy", "words"],
+                [b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("toxic")), pa.array([_shingle_min(t) for t in texts], pa.int64()), pa.array([sorted(features_of(words_of(t))) for t in texts], pa.list_(pa.string()))],
+                ["doc_id", "toxic", "copy", "features"],
             )
 
-    rows = session.written(spark, sample.mapInArrow(words, "doc_id long, toxic int, copy long, words array<string>"), "toxic-sample")
+    rows = session.written(spark, sample.mapInArrow(words, "doc_id long, toxic int, copy long, features array<string>"), "toxic-sample")
     share = rows.groupBy("copy").agg((1 / F.count("*")).alias("w"))  # at most max_labelled rows
     rows = rows.join(F.broadcast(share), "copy")
     total = rows.agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("toxic")).alias("t")).head()
     n, t = float(total["n"] or 0), float(total["t"] or 0)
     if not n or not 0 < t < n:
         return fit([(([], int(t > 0), 1.0))] * int(n), [], groups)
-    each = rows.select("toxic", "w", F.explode("words").alias("word")).groupBy("word").agg(F.sum(F.col("w") * F.col("toxic")).alias("a"), F.sum("w").alias("m"))
+    each = rows.select("toxic", "w", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum(F.col("w") * F.col("toxic")).alias("a"), F.sum("w").alias("m"))
     p, q = F.col("a") / F.lit(t), (F.col("m") - F.col("a")) / F.lit(n - t)
     mid = (F.col("m") + 1) / F.lit(n + 2)
     z = (p - q) / F.sqrt(mid * (1 - mid) * F.lit(1 / t + 1 / (n - t)))
-    names = [r["word"] for r in each.where("m >= 2.5").withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(max_features).collect()]
+    names = [r["feature"] for r in each.where("m >= 2.5").withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(max_features).collect()]
     identity = [w for g in groups for w in g if w not in names]
     names = names + identity
     table = F.array(*[F.lit(w) for w in names])
-    present = rows.select("toxic", "w", F.array_intersect("words", table).alias("found")).collect()  # at most max_labelled rows
+    present = rows.select("toxic", "w", F.array_intersect("features", table).alias("found")).collect()  # at most max_labelled rows
     at = {w: i for i, w in enumerate(names)}
     return fit([([at[w] for w in r["found"]], r["toxic"], r["w"]) for r in present], names, groups)
 
