@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from geomosaic import session
-from geomosaic.llm import byte_bpe, common, fingerprint, media, packing, quality, simhash, token_counts, toxicity, url_filter
+from geomosaic.llm import byte_bpe, common, fingerprint, media, packing, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
 
 #: Rules of op9, as given.
 URL_RULES = [
@@ -37,6 +37,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.maintained(spark, _documents(spark, sf_dir), session.scratch(spark, "rollup"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(spark, _documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(spark, _documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
 
@@ -96,6 +100,7 @@ QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_media": op2_media,
     "op3_token_counts": op3_token_counts,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
