@@ -32,3 +32,37 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
         small = moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         cur = session.written(spark, small, "edges")
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+
+
+def pivot_clusters(spark: SparkSession, nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """node, pivot: the clusters of repeatedly taking the smallest remaining node and its remaining neighbours.
+
+    The pivots are the lexicographically first maximal independent set, and every other node belongs to its smallest
+    neighbouring pivot. So all nodes decide side by side: one whose smaller neighbours are all decided against is a pivot; one
+    with a pivot among them is not. Rounds grow with the longest descending chain that stays undecided, not with the number or
+    size of clusters. ``nodes`` has a column ``node``; ``edges`` src and dst. Each round is written to the shared folder.
+    """
+    lower = session.written(spark, edges.where("src <> dst").select(F.greatest("src", "dst").alias("node"), F.least("src", "dst").alias("low")).distinct(), "lower")
+    free = nodes.select("node").distinct().join(lower.select("node").distinct(), "node", "left_anti")
+    pivots = free.select("node")  # no smaller neighbour at all
+    decided = [pivots.select("node", F.col("node").alias("pivot"))]
+    waiting = lower
+    for _ in range(max_rounds):
+        waiting = session.written(spark, waiting, "waiting")
+        if not waiting.limit(1).count():
+            out = decided[0]
+            for d in decided[1:]:
+                out = out.unionByName(d)
+            return out.groupBy("node").agg(F.min("pivot").alias("pivot"))
+        fresh = session.written(spark, pivots, "pivots")
+        taken = waiting.join(fresh.select(F.col("node").alias("low")), "low", "left_semi").groupBy("node").agg(F.min("low").alias("pivot"))
+        taken = session.written(spark, taken, "taken")
+        # Taken nodes are settled, and no longer hold others back.
+        rest = waiting.join(taken.select("node"), "node", "left_anti").join(taken.select(F.col("node").alias("low")), "low", "left_anti")
+        rest = session.written(spark, rest, "rest")
+        held = rest.select("node").distinct()
+        loose = waiting.select("node").distinct().join(taken.select("node"), "node", "left_anti").join(held, "node", "left_anti")
+        pivots = session.written(spark, loose, "loose")
+        decided += [taken, pivots.select("node", F.col("node").alias("pivot"))]
+        waiting = rest
+    raise RuntimeError(f"not settled after {max_rounds} rounds")
