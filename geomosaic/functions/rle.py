@@ -10,17 +10,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once: as a lambda's variable it isn't computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def encode(pixels: Column, height: Column, width: Column, legacy: bool = False) -> Column:
     """pixels: array<int>, 0 or not. No UDF: run starts are found by comparing neighbours."""
+
+    def counts(on: Column) -> Column:
+        n = F.size(on)
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(on, i - 1) != F.get(on, i - 2)))
+        runs = _let(starts, lambda st: F.zip_with(st, F.concat(F.slice(st, 2, F.size(st)), F.array(n + 1)), lambda a, b: (b - a).cast("int")))
+        if not legacy:
+            runs = F.when(F.get(on, F.lit(0)) == 1, F.concat(F.array(F.lit(0)), runs)).otherwise(runs)
+        return F.when(n > 0, runs).otherwise(F.array().cast("array<int>"))
+
     on = F.transform(pixels, lambda v: F.when(v != 0, 1).otherwise(0))
-    n = F.size(pixels)
-    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(on, i) != F.element_at(on, F.greatest(i - 1, F.lit(1)))))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(n + 1))
-    runs = F.zip_with(starts, ends, lambda a, b: (b - a).cast("int"))
-    if not legacy:
-        runs = F.when(F.element_at(on, 1) == 1, F.concat(F.array(F.lit(0)), runs)).otherwise(runs)
-    counts = F.when(n > 0, runs).otherwise(F.array().cast("array<int>"))
-    return F.struct(F.array(height.cast("int"), width.cast("int")).alias("size"), counts.alias("counts"))
+    return F.struct(F.array(height.cast("int"), width.cast("int")).alias("size"), _let(on, counts).alias("counts"))
 
 
 def decode(rle: Column, on: int = 255) -> Column:
@@ -48,18 +55,19 @@ def contains(rle: Column, px: Column, py: Column) -> Column:
 def features(rle: Column) -> Column:
     """struct<area, cx, cy, xmin, ymin, xmax, ymax>: pixel count, centroid truncated to whole pixels, and the box with its far
     edges exclusive. Null for an empty mask."""
-    width = rle["size"][1]
-    pixels = decode(rle, 1)
-    on = F.filter(F.sequence(F.lit(0), F.greatest(F.size(pixels), F.lit(1)) - 1), lambda i: F.get(pixels, i) == 1)
-    xs, ys = F.transform(on, lambda i: i % width), F.transform(on, lambda i: F.floor(i / width).cast("int"))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    n = F.size(on)
-    out = F.struct(
-        n.cast("long").alias("area"),
-        F.try_divide(total(xs), n).cast("int").alias("cx"), F.try_divide(total(ys), n).cast("int").alias("cy"),
-        F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), (F.array_max(xs) + 1).alias("xmax"), (F.array_max(ys) + 1).alias("ymax"),
-    )
-    return F.when(n > 0, out)
+
+    def measured(p: Column) -> Column:
+        xs, ys, n = p["xs"], p["ys"], F.size(p["xs"])
+        return F.when(n > 0, F.struct(
+            n.cast("long").alias("area"), F.try_divide(total(xs), n).cast("int").alias("cx"), F.try_divide(total(ys), n).cast("int").alias("cy"),
+            F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), (F.array_max(xs) + 1).alias("xmax"), (F.array_max(ys) + 1).alias("ymax"),
+        ))
+
+    width = rle["size"][1]
+    places = lambda pixels: F.filter(F.transform(pixels, lambda v, i: F.when(v == 1, i)), lambda i: i.isNotNull())
+    split = lambda on: F.struct(F.transform(on, lambda i: i % width).alias("xs"), F.transform(on, lambda i: F.floor(i / width).cast("int")).alias("ys"))
+    return _let(_let(_let(decode(rle, 1), places), split), measured)
 
 
 def resize_nearest(pixels: Column, height: int, width: int, to_height: int, to_width: int) -> Column:
