@@ -39,7 +39,7 @@ LENGTH, GRAM = 200, 24
 #: Windows in a run at most; longer ones (periodic text) are cut.
 RUN = 256
 #: Bytes of a text that are scanned at once, and bytes of contexts in one index.
-SEGMENT, BIN_BYTES = 1 << 18, 1 << 20
+SEGMENT, BIN_BYTES = 1 << 18, 1 << 17
 #: Different contexts under one anchor beyond which windows are counted by hash.
 HOT = 512
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -175,19 +175,22 @@ class RunLengthIndex:
 
     def _suffix_order(self, longest: int) -> np.ndarray:
         n = len(self.text)
-        padded = np.concatenate([self.text, np.zeros(7, np.int64)])
+        padded = np.concatenate([self.text, np.zeros(6, np.int64)])
         key = np.zeros(n, np.int64)
         for j in range(7):
             key = (key << 9) | np.where(self.left > j, padded[j : j + n], 0)
+        self.seven = np.concatenate([key, np.zeros(7, np.int64)])  # seven symbols at once, for comparisons
         h = 7
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)  # equal keys in any order: only the last round needs one
             ranked = key[order]
-            step = np.concatenate([[0], (ranked[1:] != ranked[:-1]).astype(np.int64)])
-            if h >= longest or step[1:].all():
-                return order  # equal suffixes of different strings stay in the order of their separators
+            step = ranked[1:] != ranked[:-1]
+            if step.all():
+                return order
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(step) + 1
+            rank[order] = np.concatenate([[1], np.cumsum(step) + 1])
+            if h >= longest:  # equal suffixes of different strings stand in the order of their separators
+                return np.argsort(rank * n + np.arange(n))
             later = np.zeros(n, np.int64)
             later[: n - h] = rank[h:]
             key = rank * (n + 1) + np.where(self.left > h, later, 0)
@@ -196,12 +199,13 @@ class RunLengthIndex:
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes a and b, within their strings."""
         most = np.minimum(self.left[a], self.left[b])
-        out, live, d = np.zeros(len(a), np.int64), np.arange(len(a)), 0
-        while len(live):
-            live = live[most[live] > d]
-            live = live[self.text[a[live] + d] == self.text[b[live] + d]]
-            d += 1
-            out[live] = d
+        out = np.zeros(len(a), np.int64)
+        for width, at in ((7, self.seven), (1, self.text)):
+            live = np.arange(len(a))
+            while len(live):
+                d = out[live]
+                live = live[(d + width <= most[live]) & (at[np.minimum(a[live] + d, len(at) - 1)] == at[np.minimum(b[live] + d, len(at) - 1)])]
+                out[live] += width
         return out
 
     def matching_statistics(self) -> np.ndarray:
@@ -285,7 +289,7 @@ def _mark_by_hash(spark: SparkSession, contexts: DataFrame, parts: int) -> DataF
                     rows.append((h, c, body))
                     size += len(body)
                     seen = (h, c)
-                if size >= 4 * BIN_BYTES:
+                if size >= 32 * BIN_BYTES:
                     yield from flush(rows)
                     rows, size = [], 0
         if rows:
