@@ -3,7 +3,7 @@
 Documents are tokenised in doc_id order, each ending with a separator id, and the stream of ids is cut into windows of at
 most ``window`` ids. A cut may stand at a document's end (free), at a sentence's end (a small truncation penalty) or, only
 where sentences are longer than a window, anywhere (a large one). A window costs its padding: up to ``window``, or nothing if
-its length is a power of two. With positions p and f the least cost up to a boundary,
+its length is a power of two (of LEAST_POWER or more: shorter sequences aren't worth their place in a batch). With positions p and f the least cost up to a boundary,
 
     f(j) = penalty(j) + min(  min over p(j) - window <= p(i) < p(j) of [f(i) + p(i)] + window - p(j),
                               min over p(j) - p(i) a power of two of f(i)  )
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -34,10 +33,11 @@ from geomosaic.llm import common
 WINDOW = 4096
 #: Cost, in ids of padding, of a cut at a sentence's end, and of one inside a sentence.
 SENTENCE_CUT, HARD_CUT = 16, 64
+LEAST_POWER = 512
 #: Ids that are packed at once.
 BLOCK = 1 << 21
 #: Entries of a worker's cache; beyond it the cache starts anew.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 900_000
 
 #: Latin words with what may follow them. Their letters are precomposed, so that normalisation only lower-cases them.
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
@@ -58,6 +58,9 @@ class WordIds:
         self.parts: dict[str, bytes] = {"": b"", "\n": b""}
         self.words: dict[str, bytes] = {"": b""}
         self.stops = {"\n"}
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_word[i] = token.endswith("</w>")
 
     def _tokenise(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -73,7 +76,14 @@ class WordIds:
             else:
                 odd.append(p)
         need = [w for w in need if w not in self.words]
-        self.words.update(zip(need, self._tokenise(need)))
+        letters, marks = [w for w in need if w[0].isalpha()], [w for w in need if not w[0].isalpha()]
+        self.words.update(zip(marks, self._tokenise(marks)))
+        for i in range(0, len(letters), 1000):  # many words to a text: each ends with its only word-end token
+            some = letters[i : i + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            self.words.update(zip(some, [raw[a:b] for a, b in zip([0, *cut], cut)], strict=True))
         self.parts.update(zip(odd, self._tokenise(odd)))
         for p, word, marks in plain:
             self.parts[p] = self.words[word] + self.words[marks]
@@ -86,12 +96,18 @@ class WordIds:
             self.stops = {"\n"}
         if len(self.words) > CACHE_ENTRIES:
             self.words = {"": b""}
-        unseen = set().union(*split).difference(self.parts)
+        get, rows, unseen = self.parts.get, [], set()
+        for s in split:
+            found = [get(p) for p in s]
+            rows.append(found)
+            if None in found:
+                unseen.update([p for p, f in zip(s, found) if f is None])
         if unseen:
             self._learn(unseen)
         parts, stops, out = self.parts, self.stops, []
-        for s in split:
-            found = [parts[p] for p in s]
+        for s, found in zip(split, rows):
+            if None in found:
+                found = [parts[p] for p in s]
             upto = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 4
             ends = [i for i, p in enumerate(s) if p in stops]
             out.append((b"".join(found), np.unique(upto[ends])))
@@ -122,29 +138,34 @@ def cuts(length: int, places: np.ndarray, penalty: np.ndarray, window: int = WIN
     at = np.full(length + 1, -1, np.int32)
     at[p] = np.arange(n)
     exact: dict[int, list[int]] = {}
-    power, pos = 1, np.array(p)
-    while power <= window:  # boundaries that a power of two parts
+    power, pos = LEAST_POWER, np.array(p)
+    while power < window:  # boundaries that a power of two parts
         src = at[np.maximum(pos - power, 0)]
-        for j in np.flatnonzero((pos >= power) & (src >= 0)).tolist():
-            exact.setdefault(j, []).append(int(src[j]))
+        hit = np.flatnonzero((pos >= power) & (src >= 0))
+        for j, i in zip(hit.tolist(), src[hit].tolist()):
+            exact.setdefault(j, []).append(i)
         power *= 2
-    f, come = [0.0] * n, [0] * n
-    queue: deque[int] = deque()
-    key = [0.0] * n  # f(i) + p(i)
+    # The queue holds boundaries with ascending f(i) + p(i); its first is the best of those in reach.
+    f, come, q_at, q_key, q_i, top = [0.0] * n, [0] * n, [0], [0.0], [0], 0
     for j in range(1, n):
-        i, here = j - 1, p[j]
-        k = key[i] = f[i] + p[i]
-        while queue and key[queue[-1]] >= k:
-            queue.pop()
-        queue.append(i)
-        while here - p[queue[0]] > window:
-            queue.popleft()
-        best = queue[0]
-        value = key[best] + window - here
-        for i in exact.get(j, ()):
-            if f[i] < value:
-                value, best = f[i], i
-        f[j], come[j] = value + cost[j], best
+        here = p[j]
+        while here - q_at[top] > window:
+            top += 1
+        best, value = q_i[top], q_key[top] + window - here
+        if j in exact:
+            for i in exact[j]:
+                if f[i] < value:
+                    value, best = f[i], i
+        value += cost[j]
+        f[j], come[j] = value, best
+        k = value + here
+        while len(q_key) > top and q_key[-1] >= k:
+            q_key.pop()
+            q_at.pop()
+            q_i.pop()
+        q_key.append(k)
+        q_at.append(here)
+        q_i.append(j)
     # The last window, whole or cut into powers of two.
     lo = int(np.searchsorted(pos, length - window))
     tail = [(f[i] + min(0 if (length - p[i]).bit_count() == 1 else window - length + p[i], HARD_CUT * ((length - p[i]).bit_count() - 1)), i) for i in range(lo, n - 1)]
