@@ -203,6 +203,18 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
     return stats.mapInArrow(run, "doc_id long, score double")
 
 
+def kept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``, as they are. No shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.chunks(batches):
+            x = np.stack([statistics(t or "") for t in b.column(at).to_pylist()])
+            yield b.filter(pa.array(model.score(x) >= least, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: learns from the rows of folds 0, 1 and 3 of 4 only, judges every row. Null texts
     count as empty."""

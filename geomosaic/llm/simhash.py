@@ -74,12 +74,13 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """(64, words): bit p of 64 consecutive fingerprints in one word of plane p; lane i of a word is its bit i."""
-    n = -(-len(fps) // 64)
-    padded = np.zeros(n * 64, np.uint64)
+    """fps: (n, k) of k words each. (64 k, words): bit p of 64 consecutive fingerprints in one word of plane p; lane i of a word
+    is its bit i."""
+    n, k = -(-len(fps) // 64), fps.shape[1]
+    padded = np.zeros((n * 64, k), np.uint64)
     padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(n, 64, 8), axis=2, bitorder="little")  # word, lane, bit
-    return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8").reshape(BITS, n)
+    bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(n, 64, 8 * k), axis=2, bitorder="little")  # word, lane, bit
+    return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8").reshape(BITS * k, n)
 
 
 class _Counters:
@@ -124,17 +125,18 @@ class _Counters:
         self.over = self.over[who]
 
 
-def links(fps: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def links(fps: np.ndarray, last: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j), i < j, within ``radius``, where row i is compared with the rows of its group after it, [i + 1, last[i]).
 
-    Yields index arrays for slices of work items. ``first`` is unused by the comparison but says where groups begin.
+    fps: (n,) or (n, k) words. Yields index arrays for slices of work items.
     """
+    fps = fps.reshape(len(fps), -1)
     vertical = planes(fps)
     i = np.arange(len(fps))
     lo, hi = (i + 1) // 64, (last - 1) // 64  # words that hold the partners of row i
     count = np.where(last > i + 1, hi - lo + 1, 0)
     ends = np.cumsum(count)
-    flip = (~np.uint64(0)) * ((fps[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1))  # all ones where the query's bit is set
+    flip = lambda q, p: np.uint64(0) - ((fps[q, p // BITS] >> np.uint64(p % BITS)) & np.uint64(1))  # noqa: E731  all ones where the query's bit is set
     cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, ITEMS), side="right")
     for a, b in zip(cuts, [*cuts[1:], len(fps)]):
         b = max(a, b)
@@ -148,8 +150,8 @@ def links(fps: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int) ->
         full = ~np.uint64(0)
         mask = (full << lane0.astype(np.uint64)) & (full >> (64 - lane1).astype(np.uint64))
         counters = _Counters(len(q), radius)
-        for p in range(0, BITS, 8):
-            counters.add([vertical[x, word] ^ flip[q, x] for x in range(p, p + 8)])
+        for p in range(0, len(vertical), 8):
+            counters.add([vertical[x, word] ^ flip(q, x) for x in range(p, p + 8)])
             left = mask & ~counters.beyond()
             who = np.flatnonzero(left)
             if len(who) < len(q):  # abandon words without a lane in reach
@@ -197,44 +199,55 @@ def _mask(positions: list[int]) -> int:
 
 
 def spanning_links(spark: SparkSession, fps: DataFrame, radius: int) -> DataFrame:
-    """src, dst: links between distinct fingerprints (column ``fp``) whose closure is that of all links within the radius."""
+    """src, dst: links between distinct fingerprints (column ``fp``, a bigint) whose closure is that of all links within the
+    radius."""
     n = fps.count()
     masks = [_mask(p) for p in cover(n, radius)]
-    dealt = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("choice", "bits"))
+    dealt = fps.select(F.col("fp").alias("node"), "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("choice", "bits"))
+    return _compared(spark, dealt, radius, narrow=True)
+
+
+def _compared(spark: SparkSession, dealt: DataFrame, radius: int, narrow: bool) -> DataFrame:
+    """Compare the rows (choice, bits, node, fp) that share choice and bits; src, dst as nodes."""
     heavy = dealt.groupBy("choice", "bits").count().where(F.col("count") > GROUP_ROWS)
     heavy = session.written(spark, heavy.select("choice", "bits", F.ceil(2 * F.col("count") / GROUP_ROWS).cast("int").alias("cuts")), "heavy")
     dealt = dealt.join(heavy, ["choice", "bits"], "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("cuts").cast("long")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("cuts").cast("long")).cast("int")
     pairs = F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda x: F.least(own, x) * F.col("cuts") + F.greatest(own, x)))
-    dealt = dealt.select("choice", "bits", F.explode(pairs).alias("pair"), "fp")
+    dealt = dealt.select("choice", "bits", F.explode(pairs).alias("pair"), "node", "fp")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def done(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
             size = np.diff(np.append(edge, len(fp)))
             some = np.repeat(size > 1, size)  # rows alone in their group have no partner
             size, fp = size[size > 1], fp[some]
             stop = np.cumsum(size)
-            last, first = np.repeat(stop, size), np.repeat(stop - size, size)
-            root = _forest(len(fp), links(fp.view(np.uint64), first, last, radius)) if len(fp) else np.zeros(0, np.int64)
+            root = _forest(len(fp), links(fp, np.repeat(stop, size), radius)) if len(fp) else np.zeros(0, np.int64)
             tied = root != np.arange(len(fp))
-            return pa.RecordBatch.from_arrays([pa.array(fp[tied], pa.int64()), pa.array(fp[root[tied]], pa.int64())], ["src", "dst"])
+            name = node[some]
+            return pa.RecordBatch.from_arrays([pa.array(name[tied], pa.int64()), pa.array(name[root[tied]], pa.int64())], ["src", "dst"])
 
-        keys, vals, rows = [], [], 0
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
         for b in batches:
             if not b.num_rows:
                 continue
-            keys.append(np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1))
-            vals.append(b.column(3).to_numpy(zero_copy_only=False).astype(np.int64))
+            key = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+            if narrow:
+                fp = b.column(4).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, 1)
+            else:
+                fp = np.frombuffer(b"".join(b.column(4).to_pylist()), "<u8").reshape(b.num_rows, -1)
+            held.append((key, b.column(3).to_numpy(zero_copy_only=False).astype(np.int64), fp))
             rows += b.num_rows
-            if rows >= 1 << 16:
-                key, val = np.concatenate(keys), np.concatenate(vals)
+            if rows >= 1 << 15:
+                key, node, fp = (np.concatenate(x) for x in zip(*held))
                 cut = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key != key[-1]).any() else 0  # the last group may go on
                 if cut:
-                    yield done(key[:cut], val[:cut])
-                keys, vals, rows = [key[cut:]], [val[cut:]], len(key) - cut
+                    yield done(key[:cut], node[:cut], fp[:cut])
+                held, rows = [(key[cut:], node[cut:], fp[cut:])], len(key) - cut
         if rows:
-            yield done(np.concatenate(keys), np.concatenate(vals))
+            yield done(*(np.concatenate(x) for x in zip(*held)))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouped = dealt.repartition(parts, "choice", "bits", "pair").sortWithinPartitions("choice", "bits", "pair")
@@ -257,3 +270,61 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, radius
     found = session.written(spark, named.join(least, "root").select("fp", "component_id"), "components")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return own.join(found, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+# Near-copies of a given similarity: the same comparison over wide fingerprints.
+
+#: Words of 64 bits in a wide fingerprint, and bits of a block; fingerprints that agree on a block are compared.
+WIDE, BLOCK_BITS = 8, 16
+
+
+def wide_radius(similarity: float, bits: int = BITS * WIDE) -> int:
+    """Differing bits to allow for a Jaccard similarity: texts of equal size have cosine 2 s / (1 + s), each bit differs with
+    the angle's share of a half turn; one standard deviation is added."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + (bits * p * (1 - p)) ** 0.5)
+
+
+def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, fp (binary, WIDE words): each distinct shingle's hash is stretched to WIDE words, each bit is a majority vote.
+    Texts without words have a null fingerprint."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.chunks(batches, 2 << 20):
+            groups = [np.unique(shingle_hashes(t, words, 42)) for t in b.column(1).to_pylist()]
+            cols = [majority([common.mix(g + np.uint64((i + 1) * int(common.GOLD) % (1 << 64))) for g in groups]) for i in range(WIDE)]
+            wide = np.stack(cols, axis=1).astype("<u8")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w.tobytes() if len(g) else None for g, w in zip(groups, wide)], pa.binary())], ["doc_id", "fp"])
+
+    return common.texts(docs).mapInArrow(run, "doc_id long, fp binary")
+
+
+def copies(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """doc_id, keep (the smallest doc_id of its group of near copies) for every row with an id; and the ids that stand in
+    several rows.
+
+    Texts without words are copies of each other. Wide fingerprints are compared where they agree on any block of BLOCK_BITS
+    bits; copies well above the similarity agree on several of them.
+    """
+    own = session.written(spark, wide_fingerprints(docs, words).where("doc_id IS NOT NULL").withColumn("fp", F.coalesce("fp", F.lit(b""))), "wide")
+    distinct = session.written(spark, own.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
+    per = BLOCK_BITS // 8
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(BITS * WIDE // BLOCK_BITS - 1)), lambda i: F.conv(F.hex(F.substring(F.col("fp"), i * per + 1, F.lit(per))), 16, 10).cast("long"))
+    dealt = distinct.where(F.length("fp") > 0).select("node", "fp", F.posexplode(blocks).alias("choice", "bits"))
+    groups = connected_components(spark, _compared(spark, dealt, wide_radius(similarity), narrow=False))
+    named = distinct.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("keep"))
+    named = session.written(spark, named, "kept")
+    return own.join(named, "fp").select("doc_id", "keep"), own.groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` with one document of each group of near copies: that of the smallest doc_id. Of rows with one id,
+    one stays. Rows with a null id can't be named and stay. All columns stay as they are."""
+    found, repeats = copies(spark, docs, words, similarity)
+    gone = session.written(spark, found.where("keep <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    repeats = session.written(spark, repeats.select(F.col("doc_id").alias("_again")), "repeats")
+    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    if not repeats.limit(1).count():
+        return kept
+    again = kept.join(repeats, kept["doc_id"].cast("long") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeats, kept["doc_id"].cast("long") == F.col("_again"), "left_anti").unionByName(again)

@@ -388,10 +388,9 @@ def _cut(text: bytes, found: list[dict] | None) -> list[tuple[int, int]]:
     return list(zip(p[first, 0].tolist(), end[last].tolist()))
 
 
-def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """did, th, doc_id, z (the text compressed), found: each document's runs with marks (null if none)."""
+def found_runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """did, th, found: the runs with marks of each document that has any. ``docs`` as ``_keyed`` gives them."""
     common.small_batches(spark)
-    docs = _keyed(docs)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs = _runs(docs)
     counts = runs.groupBy("h").agg(F.sum(F.when(F.col("several"), 2).otherwise(1)).alias("n"))
@@ -406,8 +405,47 @@ def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = _mark_by_index(cold).unionByName(_mark_by_hash(spark, bodies.where("hot").select("h", "c", "body"), parts))
     whole = distinct.where("n > 1").select("h", "c", F.lit(b"").alias("marks"))  # empty: every window
     marks = session.written(spark, found.unionByName(whole).groupBy("h", "c").agg(F.collect_list("marks").alias("marks")), "marks")
-    per = cand.join(marks, ["h", "c"]).groupBy("did", "th").agg(F.collect_list(F.struct("ws", "wn", "marks")).alias("found"))
-    return _compressed(docs).join(per, ["did", "th"], "left")
+    return cand.join(marks, ["h", "c"]).groupBy("did", "th").agg(F.collect_list(F.struct("ws", "wn", "marks")).alias("found"))
+
+
+def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """did, th, doc_id, z (the text compressed), found: each document's runs with marks (null if none)."""
+    docs = _keyed(docs)
+    return _compressed(docs).join(found_runs(spark, docs), ["did", "th"], "left")
+
+
+def _whole(text: bytes, spans: list[tuple[int, int]]) -> str:
+    """The text without the spans, as far as they cover whole characters."""
+    out, at = [], 0
+    for a, e in spans:
+        while a < e and text[a] & 0xC0 == 0x80:
+            a += 1
+        while e > a and e < len(text) and text[e] & 0xC0 == 0x80:
+            e -= 1
+        out.append(text[at:a])
+        at = e
+    out.append(text[at:])
+    return b"".join(out).decode("utf-8", "surrogatepass")
+
+
+def cleaned(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with repeated strings cut from ``text`` (whole characters only) and ``n_chars``, if there is such a
+    column, counted anew. A null text stays null. Other columns stay as they are."""
+    found = found_runs(spark, _keyed(docs))
+    key = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("th"))
+    schema = docs.schema
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row = b.column(0)
+            cols = {n: row.field(n) for n in schema.names}
+            texts = [t if t is None or not f else _whole(t.encode("utf-8", "surrogatepass"), _cut(b"", f)) for t, f in zip(cols["text"].to_pylist(), b.column(1).to_pylist())]
+            cols["text"] = pa.array(texts, pa.string())
+            if "n_chars" in cols:
+                cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], cols["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    return key.join(found, ["did", "th"], "left").select("row", "found").mapInArrow(run, schema)
 
 
 def removed(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -190,6 +190,17 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return common.texts(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def kept(docs: DataFrame, model: Model, below: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score less than ``below``, as they are. No shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.chunks(batches):
+            yield b.filter(pa.array([model.score(t or "") < below for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(parts: int) -> Column:
     """crc32 of doc_id as text, modulo ``parts`` (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
