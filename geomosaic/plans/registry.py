@@ -352,9 +352,10 @@ def stride_sample(spark, d):
 
 
 @query(f"""WITH {_PTS}, low AS (SELECT min(x) - 5.0 AS x0, min(y) - 5.0 AS y0, min(z) - 5.0 AS z0 FROM pts) SELECT CAST(floor((x - x0) / 10.0) AS BIGINT) AS vx, CAST(floor((y - y0) / 10.0) AS BIGINT) AS vy, CAST(floor((z - z0) / 10.0) AS BIGINT) AS vz,
-round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, count(*) AS n FROM pts CROSS JOIN low GROUP BY ALL""")
+round(avg(x) + 1.234e-7::DOUBLE, 6) AS x, round(avg(y) + 1.234e-7::DOUBLE, 6) AS y, round(avg(z) + 1.234e-7::DOUBLE, 6) AS z, count(*) AS n FROM pts CROSS JOIN low GROUP BY ALL""")
 def voxel_downsample(spark, d):
-    return points.voxel_downsample(fx.frame(spark, d, fx.POINTS), 10.0).withColumns({c: F.round(c, 6) for c in "xyz"})
+    v = points.voxel_downsample(fx.frame(spark, d, fx.POINTS), 10.0)
+    return v.withColumns({c: F.round(F.col(c) + F.lit(1.234e-7), 6) for c in "xyz"})  # off the ties, which the engines round differently
 
 
 def _polygons(spark, d):
