@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from geomosaic.operators.graph import connected_components
 
@@ -153,20 +155,28 @@ def mask_polygons(masks: DataFrame, gt, offset: tuple[float, float] = (0.0, 0.0)
     """Adds ``polygon`` (array of x, y as floats in the cloud's coordinates; null if there is none) to rows with rle_mask and
     pixel_origin."""
 
-    @F.pandas_udf("array<struct<x:float,y:float>>")
-    def trace(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for size, counts, origin in it:
-            out = []
-            for s, c, o in zip(size, counts, origin):
-                flat = np.repeat(np.arange(len(c)) % 2, np.asarray(c, int))
-                p = polygon_of(flat.reshape(int(s[0]), int(s[1]))) if len(flat) == int(s[0]) * int(s[1]) and len(flat) else None
-                if p is None:
-                    out.append(None)
-                    continue
-                px, py = p[:, 0] + o[0], p[:, 1] + o[1]
-                x = gt.origin_x + px * gt.pixel_w + py * gt.rot_x - offset[0]
-                y = gt.origin_y + px * gt.rot_y + py * gt.pixel_h - offset[1]
-                out.append([{"x": a, "y": b} for a, b in zip(x.tolist(), y.tolist())])
-            yield pd.Series(out)
-
-    return masks.withColumn("polygon", trace(F.col("rle_mask.size"), F.col("rle_mask.counts"), F.col("pixel_origin")))
+    src = masks.drop("polygon")
+    at = {c: i for i, c in enumerate(src.columns)}
+    kind = pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32())]))
+
+    def traced(mask: dict | None, origin: list | None) -> list[dict] | None:
+        if not mask or not origin or not mask["size"] or mask["counts"] is None:
+            return None
+        (h, w), counts = mask["size"], np.asarray(mask["counts"], int)
+        if not h * w or counts.sum() != h * w:
+            return None
+        p = polygon_of(np.repeat(np.arange(len(counts)) % 2, counts).reshape(h, w))
+        if p is None:
+            return None
+        px, py = p[:, 0] + origin[0], p[:, 1] + origin[1]
+        x = gt.origin_x + px * gt.pixel_w + py * gt.rot_x - offset[0]
+        y = gt.origin_y + px * gt.rot_y + py * gt.pixel_h - offset[1]
+        return [{"x": a, "y": b} for a, b in zip(x.tolist(), y.tolist())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [traced(m, o) for m, o in zip(b.column(at["rle_mask"]).to_pylist(), b.column(at["pixel_origin"]).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], [*b.schema.names, "polygon"])
+
+    schema = StructType([*src.schema.fields, StructField("polygon", ArrayType(StructType([StructField("x", FloatType()), StructField("y", FloatType())])))])
+    return src.mapInArrow(run, schema)
