@@ -136,10 +136,10 @@ def test_outline_of_a_square():
 
 
 def test_mask_polygons_keep_rows_and_columns(spark):
-    rows = [(1, ([4, 4], [5, 2, 2, 2, 5]), [10, 20]), (2, ([2, 2], [4]), [0, 0]), (3, None, None)]
+    rows = [(1, ([6, 6], [7, 4, 2, 4, 2, 4, 2, 4, 7]), [10, 20]), (2, ([2, 2], [4]), [0, 0]), (3, None, None)]
     masks = spark.createDataFrame(rows, "id int, rle_mask struct<size:array<int>,counts:array<int>>, pixel_origin array<int>")
     got = {r["id"]: r["polygon"] for r in vision.mask_polygons(masks, geo.Geotransform(0.0, 1.0, 0.0, 0.0, 0.0, -1.0)).collect()}
-    assert sorted((p["x"], p["y"]) for p in got[1]) == [(11.0, -22.0), (11.0, -21.0), (12.0, -22.0), (12.0, -21.0)]
+    assert sorted((p["x"], p["y"]) for p in got[1]) == [(11.0, -24.0), (11.0, -21.0), (14.0, -24.0), (14.0, -21.0)]
     assert got[2] is None and got[3] is None
 
 
