@@ -45,7 +45,7 @@ def put(folder, rows, extra=True):
     if extra:  # names that operators use inside
         table |= {c: pa.array([None] * len(rows), pa.int64()) for c in ("fp", "h", "score", "count", "node", "src", "bits", "ids", "fold", "toxic", "quality", "n_tokens")}
     pq.write_table(pa.table(table), f"{folder}/documents.parquet")
-    ids = sorted({i for i, _ in rows})
+    ids = sorted({i for i, _ in rows if i is not None})
     pq.write_table(pa.table({"doc_id": pa.array([*ids, None], pa.int64()), "quality": pa.array([*[i % 2 for i in ids], 1], pa.int32()), "toxic": pa.array([*[int(i % 5 == 0) for i in ids], None], pa.int32())}), f"{folder}/labels.parquet")
 
 
