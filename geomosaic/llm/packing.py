@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,21 +56,24 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.parts: dict[str, bytes] = {"": b"", "\n": b""}
-        self.words: dict[str, bytes] = {"": b""}
-        self.stops = {"\n"}
+        self._forget()
+        self.words: dict[str, np.ndarray] = {"": np.zeros(0, "<u4")}
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
 
-    def _tokenise(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        """Parts have numbers; a number's ids are ``pool[begin:begin + size]``, and ``stop`` says that a sentence or line ends."""
+        self.parts: dict[str, int] = {"": 0, "\n": 1}
+        self.pool = np.zeros(0, "<u4")
+        self.begin, self.size, self.stop = np.zeros(2, np.int64), np.zeros(2, np.int64), np.array([False, True])
 
-    def _learn(self, unseen: set[str]) -> None:
+    def _tokenise(self, parts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _learn(self, unseen: list[str]) -> None:
         plain, odd, need = [], [], set()
         for p in unseen:
-            if p[-1] in ".!?":
-                self.stops.add(p)
             if m := _PLAIN.fullmatch(p.lower()):
                 plain.append((p, m[1], m[2]))
                 need.update(m.groups())
@@ -81,37 +85,49 @@ class WordIds:
         for i in range(0, len(letters), 1000):  # many words to a text: each ends with its only word-end token
             some = letters[i : i + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cut = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
-            raw = ids.tobytes()
-            self.words.update(zip(some, [raw[a:b] for a, b in zip([0, *cut], cut)], strict=True))
-        self.parts.update(zip(odd, self._tokenise(odd)))
-        for p, word, marks in plain:
-            self.parts[p] = self.words[word] + self.words[marks]
+            cut = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            self.words.update(zip(some, [ids[a:b] for a, b in zip([0, *cut], cut)], strict=True))
+        new, words = [*odd, *(p for p, _, _ in plain)], self.words
+        pieces = self._tokenise(odd)
+        size = [*map(len, pieces), *(len(words[w]) + len(words[m]) for _, w, m in plain)]
+        for _, w, m in plain:
+            pieces.append(words[w])
+            if m:
+                pieces.append(words[m])
+        self.parts.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+        size = np.array(size, np.int64)
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.stop = np.concatenate([self.stop, np.array([p[-1] in ".!?" for p in new], bool)])
+        self.pool = np.concatenate([self.pool, *pieces])
 
     def ids(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
         """Each text's ids (little-endian unsigned 32-bit), and after how many of them a sentence or line ends."""
-        split = [t.replace("\n", " \n ").split(" ") for t in texts]
         if len(self.parts) > CACHE_ENTRIES:
-            self.parts = {"": b"", "\n": b""}
-            self.stops = {"\n"}
+            self._forget()
         if len(self.words) > CACHE_ENTRIES:
-            self.words = {"": b""}
-        get, rows, unseen = self.parts.get, [], set()
-        for s in split:
-            found = [get(p) for p in s]
-            rows.append(found)
-            if None in found:
-                unseen.update([p for p, f in zip(s, found) if f is None])
-        if unseen:
-            self._learn(unseen)
-        parts, stops, out = self.parts, self.stops, []
-        for s, found in zip(split, rows):
-            if None in found:
-                found = [parts[p] for p in s]
-            upto = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 4
-            ends = [i for i, p in enumerate(s) if p in stops]
-            out.append((b"".join(found), np.unique(upto[ends])))
-        return out
+            self.words = {"": np.zeros(0, "<u4")}
+        split = [t.replace("\n", " \n ").split(" ") for t in texts]
+        parts, count = list(chain.from_iterable(split)), np.fromiter(map(len, split), np.int64, len(split))
+        number = np.fromiter(map(self.parts.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            unseen = [parts[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(unseen)))
+            number[missing] = np.fromiter(map(self.parts.__getitem__, unseen), np.int64, len(unseen))
+        size = self.size[number]
+        upto = np.cumsum(size)
+        flat = self.pool[np.repeat(self.begin[number] - upto + size, size) + np.arange(int(size.sum()))].astype("<u4", copy=False)
+        last = np.cumsum(count)  # parts up to each text's end; every text has one at least
+        edge = np.concatenate([[0], upto[last - 1]])
+        at = np.flatnonzero(self.stop[number])
+        of, ends = np.searchsorted(last, at, side="right"), upto[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (of[1:] != of[:-1]) | (ends[1:] != ends[:-1])
+        of, ends = of[new], ends[new] - edge[of[new]]
+        cut = np.searchsorted(of, np.arange(len(texts) + 1)).tolist()
+        edge = edge.tolist()
+        return [(flat[a:b].tobytes(), ends[c:d]) for a, b, c, d in zip(edge, edge[1:], cut, cut[1:])]
 
 
 @lru_cache(2)
