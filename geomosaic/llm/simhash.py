@@ -272,10 +272,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, radius
     return own.join(found, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-# Near-copies of a given similarity: the same comparison over wide fingerprints.
+# Near copies of a given Jaccard similarity of the shingle sets, decided exactly. The wide fingerprints only find most links
+# early, so that large groups need no comparison of all their pairs.
 
 #: Words of 64 bits in a wide fingerprint, and bits of a block; fingerprints that agree on a block are compared.
 WIDE, BLOCK_BITS = 8, 16
+#: Documents (about) that are looked at for common shingles, and how many of them must hold one.
+SAMPLE, COMMON = 4000, 4
+#: Pairs that are enumerated at once.
+PAIRS = 1 << 20
 
 
 def wide_radius(similarity: float, bits: int = BITS * WIDE) -> int:
@@ -285,36 +290,181 @@ def wide_radius(similarity: float, bits: int = BITS * WIDE) -> int:
     return int(bits * p + (bits * p * (1 - p)) ** 0.5)
 
 
-def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, fp (binary, WIDE words): each distinct shingle's hash is stretched to WIDE words, each bit is a majority vote.
-    Texts without words have a null fingerprint."""
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, node (a hash of the set), n (its size), fp (binary, WIDE words: each distinct shingle's hash is stretched to
+    WIDE words, each bit is a majority vote), hashes (binary: the distinct shingles' hashes, ascending)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("fp", pa.binary()), ("hashes", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches, 2 << 20):
             groups = [np.unique(shingle_hashes(t, words, 42)) for t in b.column(1).to_pylist()]
             cols = [majority([common.mix(g + np.uint64((i + 1) * int(common.GOLD) % (1 << 64))) for g in groups]) for i in range(WIDE)]
             wide = np.stack(cols, axis=1).astype("<u8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w.tobytes() if len(g) else None for g, w in zip(groups, wide)], pa.binary())], ["doc_id", "fp"])
+            raw = [g.astype("<u8").tobytes() for g in groups]
+            node = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
+            cells = [b.column(0), node, [len(g) for g in groups], [w.tobytes() for w in wide], raw]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema)], schema=schema)
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, fp binary")
+    return common.texts(docs).mapInArrow(run, "doc_id long, node long, n int, fp binary, hashes binary")
+
+
+def prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Sets of a Jaccard similarity share one of so many first elements (in any common order) at least."""
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+
+
+def least_overlap(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Elements that sets of n and m elements have in common at least."""
+    return np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9).astype(np.int64)
+
+
+def alike(spark: SparkSession, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The src, dst of ``pairs`` whose sets have the similarity, by their elements."""
+    ends = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
+    some = session.written(spark, sets.select("node", "hashes").join(ends, "node", "left_semi").dropDuplicates(["node"]), "ends")
+    one, two = (some.select(F.col("node").alias(x), F.col("hashes").alias(f"of_{x}")) for x in ("src", "dst"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yes = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+                    yes.append(False)
+                    continue
+                both = np.sort(np.concatenate([x, y]))
+                shared = int((both[1:] == both[:-1]).sum())
+                yes.append(shared >= least_overlap(len(x), len(y), similarity))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["src", "dst"]).filter(pa.array(yes, pa.bool_()))
+
+    joined = pairs.select("src", "dst").join(one, "src").join(two, "dst").select("src", "dst", "of_src", "of_dst")
+    return joined.mapInArrow(run, "src long, dst long")
+
+
+def _common(sets: DataFrame, rows: int) -> np.ndarray:
+    """Hashes of shingles that many documents of a sample hold, ascending. They only change the order of elements, never the
+    result."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.chunks(batches, 2 << 20, "hashes"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i8"))], ["hash"])
+
+    some = sets.where(F.pmod("node", F.lit(max(1, rows // SAMPLE))) == 0).dropDuplicates(["node"]).select("hashes")
+    found = some.mapInArrow(run, "hash long").groupBy("hash").count().where(F.col("count") >= COMMON).select("hash")
+    return np.sort(np.array([r[0] for r in found.collect()], np.int64).view(np.uint64))
+
+
+def _pairs(tok: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """src, dst, sizes of both, and how many elements ``tok`` they have in common, for nodes of different roots whose sizes
+    allow the similarity."""
+    by = np.lexsort((node, root, tok))
+    tok, node, root, n = tok[by], node[by], root[by], n[by]
+    fresh = np.concatenate([[True], (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])])  # exact copies came several times
+    tok, node, root, n = tok[fresh], node[fresh], root[fresh], n[fresh]
+    last = np.searchsorted(tok, tok, side="right")
+    run = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (root[1:] != root[:-1])]))
+    after = np.repeat(np.append(run[1:], len(tok)), np.diff(np.append(run, len(tok))))  # rows of its own root are linked already
+    count = last - after
+    ends = np.cumsum(count)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, int(ends[-1]), PAIRS), side="left"), len(tok)))
+    for a, b in zip(cuts, cuts[1:]):
+        i = np.repeat(np.arange(a, b), count[a:b])
+        j = after[i] + np.arange(len(i)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b])
+        fit = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+        i, j = i[fit], j[fit]
+        swap = node[i] > node[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        by = np.lexsort((node[j], node[i]))
+        i, j = i[by], j[by]
+        edge = np.flatnonzero(np.concatenate([[True], (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1])])) if len(i) else np.zeros(0, np.int64)
+        yield node[i][edge], node[j][edge], n[i][edge], n[j][edge], np.diff(np.append(edge, len(i)))
+
+
+def candidates(spark: SparkSession, sets: DataFrame, similarity: float) -> DataFrame:
+    """src, dst: every pair of nodes with different ``root`` that can have the similarity (and others that share enough).
+
+    Prefix filter: in one order of all shingles (common ones last, else by hash), sets of the similarity share an element of
+    their prefixes. Prefix elements are dealt to slices by their hash, packed into arrays. An element shared beyond the shorter
+    prefix stands among the rest of that set, so overlap <= shared prefix elements + the larger rest: pairs below fall out.
+    """
+    rows, total = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    often = _common(sets, rows)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(4 * parts, int(total * (1 - similarity)) >> 18)
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.chunks(batches, 8 << 20, "hashes"):
+            n = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            h = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u8")
+            own = np.repeat(np.arange(len(n)), n)
+            if len(often):
+                late = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h
+            else:
+                late = np.zeros(len(h), bool)
+            by = np.lexsort((h, late, own))  # own ascends already
+            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            first = by[place < np.repeat(prefix_size(n, similarity), n)]
+            tok, own = h[first], own[first]
+            to = (common.mix(tok) % np.uint64(slices)).astype(np.int64)
+            by = np.argsort(to, kind="stable")
+            tok, own, to = tok[by], own[by], to[by]
+            node, root = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
+            begin = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+            packed = [[x[p:q].tobytes() for p, q in zip(begin, np.append(begin[1:], len(to)))] for x in (tok, node[own], root[own], n[own].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(to[begin], pa.int64()), *[pa.array(x, pa.binary()) for x in packed]], ["slice", "tok", "node", "root", "n"])
+
+    def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+            tok, node, root, n = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held), ("<u8", "<i8", "<i8", "<i4")))
+            _, where, often = np.unique(tok, return_inverse=True, return_counts=True)
+            some = often[where] > 1
+            if some.any():
+                for found in _pairs(tok[some], node[some], root[some], n[some].astype(np.int64), similarity):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["src", "dst", "n", "m", "shared"])
+
+        current, held = None, []
+        for b in batches:
+            for key, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and key != current:
+                    yield from done(held)
+                    held = []
+                current = key
+                held.append(row)
+        if held:
+            yield from done(held)
+
+    dealt = sets.select("node", "n", "root", "hashes").mapInArrow(deal, "slice long, tok binary, node binary, root binary, n binary")
+    found = dealt.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(match, "src long, dst long, n long, m long, shared long")
+    found = found.groupBy("src", "dst").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("shared").alias("shared"))
+    rest = lambda c: F.ceil(similarity * F.col(c) - F.lit(1e-9)) - 1  # noqa: E731  elements behind the prefix
+    need = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("m")) - F.lit(1e-9))
+    return found.where(F.col("shared") + F.greatest(rest("n"), rest("m")) >= need).select("src", "dst")
 
 
 def copies(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """doc_id, keep (the smallest doc_id of its group of near copies) for every row with an id; and the ids that stand in
     several rows.
 
-    Texts without words are copies of each other. Wide fingerprints are compared where they agree on any block of BLOCK_BITS
-    bits; copies well above the similarity agree on several of them.
+    Groups are the components of all links of at least the similarity. Texts without words are copies of each other. Wide
+    fingerprints that agree on any block of BLOCK_BITS bits give links early; every link is decided by the sets' elements, and
+    the prefix filter brings every pair that is not connected yet.
     """
-    own = session.written(spark, wide_fingerprints(docs, words).where("doc_id IS NOT NULL").withColumn("fp", F.coalesce("fp", F.lit(b""))), "wide")
-    distinct = session.written(spark, own.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
+    sets = session.written(spark, shingle_sets(docs, words).where("doc_id IS NOT NULL"), "sets")
+    full = sets.where("n > 0")
     per = BLOCK_BITS // 8
     blocks = F.transform(F.sequence(F.lit(0), F.lit(BITS * WIDE // BLOCK_BITS - 1)), lambda i: F.conv(F.hex(F.substring(F.col("fp"), i * per + 1, F.lit(per))), 16, 10).cast("long"))
-    dealt = distinct.where(F.length("fp") > 0).select("node", "fp", F.posexplode(blocks).alias("choice", "bits"))
-    groups = connected_components(spark, _compared(spark, dealt, wide_radius(similarity), narrow=False))
-    named = distinct.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("keep"))
-    named = session.written(spark, named, "kept")
-    return own.join(named, "fp").select("doc_id", "keep"), own.groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
+    dealt = session.written(spark, full.select("node", "fp").dropDuplicates(["node"]), "distinct").select("node", "fp", F.posexplode(blocks).alias("choice", "bits"))
+    near = session.written(spark, _compared(spark, dealt, wide_radius(similarity), narrow=False), "near")
+    early = session.written(spark, alike(spark, near, full, similarity), "early")
+    roots = session.written(spark, connected_components(spark, early), "roots")
+    rooted = full.join(roots, "node", "left").select("node", "n", F.coalesce("component", "node").alias("root"), "hashes")
+    others = session.written(spark, candidates(spark, rooted, similarity), "candidates")
+    late = session.written(spark, alike(spark, others, full, similarity), "late")
+    groups = connected_components(spark, early.union(late))
+    own = sets.select("doc_id", "node").join(groups, "node", "left").select("doc_id", F.coalesce("component", "node").alias("root"))
+    own = session.written(spark, own, "own")
+    named = own.groupBy("root").agg(F.min("doc_id").alias("keep"))
+    return own.join(named, "root").select("doc_id", "keep"), own.groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
