@@ -29,3 +29,10 @@ def test_no_pair_from_the_bound_on_is_lost(spark):
     pairs = [pair(rng, size, shared) for size, shared in [(9, 8), (90, 80), (180, 160), (270, 240), (100, 90)] for _ in range(60)]
     assert min(jaccard(*p) for p in pairs) == 0.8
     assert left(spark, pairs) == {2 * i for i in range(len(pairs))}
+
+
+def test_no_pair_below_the_bound_goes(spark):
+    rng = random.Random(2)
+    pairs = [pair(rng, size, shared) for size, shared in [(10, 8), (60, 51), (200, 177), (30, 26)] for _ in range(80)]
+    assert 0.66 < min(jaccard(*p) for p in pairs) and max(jaccard(*p) for p in pairs) < 0.8
+    assert left(spark, pairs) == set(range(2 * len(pairs)))
