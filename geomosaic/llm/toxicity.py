@@ -6,7 +6,7 @@ their share among the others (a two-proportion z value), with copies of one docu
 minimum shingle hash share a weight of 1). Identity terms are always features.
 
 The counterfactual term: in every labelled text that mentions an identity term, the term is swapped for each other one of its
-group, and the squared change of the score's logit is added to the loss. So the label may not depend on which group is named,
+group, and the squared change of the score's logit (by words, beginnings and their counts) is added to the loss. So the label may not depend on which group is named,
 and neutral mentions of a group that is often attacked don't raise the score.
 
 The labelled sample is at most MAX_LABELLED rows (smallest hash of doc_id), a documented bound; scoring covers every row.
@@ -91,10 +91,11 @@ def swaps(present: set[str], groups: Iterable[tuple[str, ...]]) -> list[tuple[st
     return [(a, b) for g in groups for a in g if a in present for b in g if b not in present]
 
 
-def fit(rows: list[tuple[list[int], int, float]], names: list[str], groups=IDENTITY_GROUPS, ridge: float = 0.5, counterfactual: float = 1.0, rounds: int = 40) -> Model:
+def fit(rows: list[tuple[list[int], int, float]], names: list[str], groups=IDENTITY_GROUPS, ridge: float = 0.5, counterfactual: float = 1.0, rounds: int = 40, near: list[list[str]] | None = None) -> Model:
     """Newton steps on the weighted log loss, a ridge and the counterfactual penalty.
 
-    rows: (features present, label, weight). Without both labels the model is constant.
+    rows: (features present, label, weight). near: each row's words that share the first letters of an identity term, and the
+    terms themselves (by default the words among its features). Without both labels the model is constant.
     """
     n, k = len(rows), len(names)
     y, w = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
@@ -109,14 +110,14 @@ def fit(rows: list[tuple[list[int], int, float]], names: list[str], groups=IDENT
     h0 = np.diag(penalty)
     for i, (present, _, weight) in enumerate(rows):
         x[i, present] = 1
-        held = {names[j] for j in present}
-        pairs = [(a, b) for a, b in swaps(held, groups) if a in at and b in at]
-        for a, b in pairs:  # the swapped text's features differ by -a + b
-            d, share = (at[a], at[b]), counterfactual * weight / len(pairs)
-            h0[d[0], d[0]] += share
-            h0[d[1], d[1]] += share
-            h0[d[0], d[1]] -= share
-            h0[d[1], d[0]] -= share
+        held = {names[j] for j in present if "*" not in names[j]} if near is None else set(near[i])
+        pairs = swaps(held, groups)
+        before = features_of(held) if pairs else set()
+        for a, b in pairs:
+            swapped = features_of(held - {a} | {b})
+            plus, minus = ([at[f] for f in sorted(x) if f in at] for x in (swapped - before, before - swapped))
+            d, sign = plus + minus, np.repeat([1.0, -1.0], [len(plus), len(minus)])
+            h0[np.ix_(d, d)] += counterfactual * weight / len(pairs) * np.outer(sign, sign)
     beta = np.zeros(k + 1)
 
     def loss(b):
@@ -175,9 +176,13 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column
     identity = [w for g in groups for w in g if w not in names]
     names = names + identity
     table = F.array(*[F.lit(w) for w in names])
-    present = rows.select("toxic", "w", F.array_intersect("features", table).alias("found")).collect()  # at most max_labelled rows
+    terms = sorted({w for g in groups for w in g})
+    begin, least = [F.array(*[F.lit(w) for w in x]).cast("array<string>") for x in (sorted({w[: STEMS[0]] for w in terms}), terms)]
+    beside = F.filter("features", lambda f: ~F.contains(f, F.lit("*")) & (F.array_contains(begin, F.substring(f, 1, STEMS[0])) | F.array_contains(least, f)))
+    near = F.when(F.arrays_overlap("features", least), beside).otherwise(F.array().cast("array<string>")).alias("near")
+    present = rows.select("toxic", "w", F.array_intersect("features", table).alias("found"), near).collect()  # at most max_labelled rows
     at = {w: i for i, w in enumerate(names)}
-    return fit([([at[w] for w in r["found"]], r["toxic"], r["w"]) for r in present], names, groups)
+    return fit([([at[w] for w in r["found"]], r["toxic"], r["w"]) for r in present], names, groups, near=[r["near"] for r in present])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
