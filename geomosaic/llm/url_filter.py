@@ -31,22 +31,30 @@ class Rule:
 
 
 class ShiftAnd:
-    """Globs over bytes, simulated together. ``*`` at a glob's start loops on all bytes but ``/``; ``*`` at its end on all."""
+    """Globs over bytes, simulated together. ``*`` before a glob's first ``/`` loops on all bytes but ``/``; later ones, and one at
+    its end, on all."""
 
     def __init__(self, globs: list[bytes]):
         self.n = len(globs)
-        length = sum(len(g.strip(b"*")) for g in globs)
+        length = sum(len(g.replace(b"*", b"")) for g in globs)
         self.words = max(1, -(-length // 64))
         mask = np.zeros((257, self.words), np.uint64)  # row 256: past the end of a URL
         self.start, self.accept = np.zeros(self.words, np.uint64), np.zeros((self.n, self.words), np.uint64)
         self.at_zero = np.zeros(self.words, np.uint64)  # may only begin at the first byte
         self.to_end = np.zeros(self.n, bool)  # must match up to the last byte
+        self.loop = np.zeros((2, self.words), np.uint64)  # positions before an inner wildcard: on all bytes, on all but "/"
         p = 0
         for i, g in enumerate(globs):
             body = g.strip(b"*")
             word, bit = divmod(p, 64)
             (self.start if g.startswith(b"*") else self.at_zero)[word] |= np.uint64(1 << bit)
-            for c in body:
+            if not body:
+                raise ValueError(f"a glob of wildcards alone: {g!r}")
+            for at, c in enumerate(body):
+                if c == 0x2A:
+                    word, bit = divmod(p - 1, 64)
+                    self.loop[int(b"/" not in body[:at]), word] |= np.uint64(1 << bit)
+                    continue
                 word, bit = divmod(p, 64)
                 mask[c, word] |= np.uint64(1 << bit)
                 p += 1
@@ -70,12 +78,13 @@ class ShiftAnd:
         alive_host = np.ones(m, bool)  # the wildcard in front still stands within the host
         hit = np.zeros((m, self.n), bool)
         one, top = np.uint64(1), np.uint64(63)
-        live = m
+        live, looped = m, bool(self.loop.any())
         for t in range(int(length[0]) if m else 0):
             while live and length[live - 1] <= t:
                 live -= 1
             c = flat[begin[:live] + t]
             s = state[:live]
+            held = s & (self.loop[0] | np.where((c != 0x2F)[:, None], self.loop[1], np.uint64(0))) if looped else None
             carry = s >> top
             s <<= one
             s[:, 1:] |= carry[:, :-1]
@@ -83,6 +92,8 @@ class ShiftAnd:
             if t == 0:
                 s |= self.at_zero
             s &= self.mask[c]
+            if looped:
+                s |= held
             alive_host[:live] &= c != 0x2F
             for i in range(self.n):
                 now = (s & self.accept[i]).any(axis=1)
