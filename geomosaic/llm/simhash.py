@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomosaic import session
@@ -291,9 +291,9 @@ def wide_radius(similarity: float, bits: int = BITS * WIDE) -> int:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node (a hash of the set), n (its size), fp (binary, WIDE words: each distinct shingle's hash is stretched to
+    """doc_id, th (the text's hash), node (a hash of the set), n (its size), fp (binary, WIDE words: each distinct shingle's hash is stretched to
     WIDE words, each bit is a majority vote), hashes (binary: the distinct shingles' hashes, ascending)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("fp", pa.binary()), ("hashes", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("fp", pa.binary()), ("hashes", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches, 2 << 20):
@@ -302,10 +302,10 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             wide = np.stack(cols, axis=1).astype("<u8")
             raw = [g.astype("<u8").tobytes() for g in groups]
             node = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
-            cells = [b.column(0), node, [len(g) for g in groups], [w.tobytes() for w in wide], raw]
+            cells = [b.column(0), b.column(2), node, [len(g) for g in groups], [w.tobytes() for w in wide], raw]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema)], schema=schema)
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, node long, n int, fp binary, hashes binary")
+    return common.texts(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, node long, n int, fp binary, hashes binary")
 
 
 def prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -442,14 +442,14 @@ def candidates(spark: SparkSession, sets: DataFrame, similarity: float) -> DataF
 
 
 def copies(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """doc_id, keep (the smallest doc_id of its group of near copies) for every row with an id; and the ids that stand in
-    several rows.
+    """doc_id, th (the text's hash, which tells rows of one id or without an id apart), keep (the doc_id and th of the row that
+    stays of its group of near copies: the smallest, null ids last) for every row; and the doc_id, th that stand in several rows.
 
     Groups are the components of all links of at least the similarity. Texts without words are copies of each other. Wide
     fingerprints that agree on any block of BLOCK_BITS bits give links early; every link is decided by the sets' elements, and
     the prefix filter brings every pair that is not connected yet.
     """
-    sets = session.written(spark, shingle_sets(docs, words).where("doc_id IS NOT NULL"), "sets")
+    sets = session.written(spark, shingle_sets(docs, words), "sets")
     full = sets.where("n > 0")
     per = BLOCK_BITS // 8
     blocks = F.transform(F.sequence(F.lit(0), F.lit(BITS * WIDE // BLOCK_BITS - 1)), lambda i: F.conv(F.hex(F.substring(F.col("fp"), i * per + 1, F.lit(per))), 16, 10).cast("long"))
@@ -461,20 +461,29 @@ def copies(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: flo
     others = session.written(spark, candidates(spark, rooted, similarity), "candidates")
     late = session.written(spark, alike(spark, others, full, similarity), "late")
     groups = connected_components(spark, early.union(late))
-    own = sets.select("doc_id", "node").join(groups, "node", "left").select("doc_id", F.coalesce("component", "node").alias("root"))
+    own = sets.select("doc_id", "th", "node").join(groups, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("root"))
     own = session.written(spark, own, "own")
-    named = own.groupBy("root").agg(F.min("doc_id").alias("keep"))
-    return own.join(named, "root").select("doc_id", "keep"), own.groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
+    named = own.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("keep"))
+    named = named.select("root", F.struct("keep.doc_id", "keep.th").alias("keep"))
+    return own.join(named, "root").select("doc_id", "th", "keep"), own.groupBy("doc_id", "th").count().where(F.col("count") > 1).select("doc_id", "th")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` with one document of each group of near copies: that of the smallest doc_id. Of rows with one id,
-    one stays. Rows with a null id can't be named and stay. All columns stay as they are."""
+    """The rows of ``docs`` with one document of each group of near copies: that of the smallest doc_id (null ids come last; of
+    one id's texts, the one of the smallest hash). Rows of one id with different texts are different documents. All columns
+    stay as they are."""
     found, repeats = copies(spark, docs, words, similarity)
-    gone = session.written(spark, found.where("keep <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    repeats = session.written(spark, repeats.select(F.col("doc_id").alias("_again")), "repeats")
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = found.where(~(F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.th") == F.col("th"))))
+    named = [F.coalesce("doc_id", F.lit(0)).alias("_did"), F.isnull("doc_id").alias("_none"), F.col("th").alias("_th")]
+    gone = session.written(spark, gone.select(*named).distinct(), "gone")
+    repeats = session.written(spark, repeats.select(*named), "repeats")
+    did, th = docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+    def same(keys: DataFrame) -> Column:
+        return (F.coalesce(did, F.lit(0)) == keys["_did"]) & (did.isNull() == keys["_none"]) & (th == keys["_th"])
+
+    kept = docs.join(gone, same(gone), "left_anti")
     if not repeats.limit(1).count():
         return kept
-    again = kept.join(repeats, kept["doc_id"].cast("long") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeats, kept["doc_id"].cast("long") == F.col("_again"), "left_anti").unionByName(again)
+    again = kept.join(repeats, same(repeats), "left_semi").withColumn("_text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return kept.join(repeats, same(repeats), "left_anti").unionByName(again)

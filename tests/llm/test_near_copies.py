@@ -36,3 +36,11 @@ def test_no_pair_below_the_bound_goes(spark):
     pairs = [pair(rng, size, shared) for size, shared in [(10, 8), (60, 51), (200, 177), (30, 26)] for _ in range(80)]
     assert 0.66 < min(jaccard(*p) for p in pairs) and max(jaccard(*p) for p in pairs) < 0.8
     assert left(spark, pairs) == set(range(2 * len(pairs)))
+
+
+def test_repeated_and_missing_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (2, b), (2, a), (2, b), (3, c), (3, d), (None, d), (None, "only here and without an id"), (None, "only here and without an id"), (None, None), (7, ""), (None, a + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.deduplicated(spark, docs).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (3, c), (3, d), (None, "only here and without an id"), (7, "")], key=str)
