@@ -11,14 +11,15 @@ its length is a power of two (of LEAST_POWER or more: shorter sequences aren't w
 The first minimum slides with j and is kept by a monotone queue, so the work is linear in the boundaries. A stream's last
 window may also be cut into powers of two, each such cut at the large penalty.
 
-Range partitions of doc_id are packed side by side; within one, blocks of about BLOCK ids are packed one after the other,
-which bounds memory. So only block ends cost anything beyond the optimum. One shuffle of the texts, none of ids.
+Ranges of (doc_id, the text's hash) are packed side by side, so rows of one id or without an id part as well; within one,
+blocks of about BLOCK ids are packed one after the other, which bounds memory. So only block ends cost anything beyond the optimum. One shuffle of the texts, none of ids.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, repeat
@@ -36,12 +37,52 @@ WINDOW = 4096
 SENTENCE_CUT, HARD_CUT = 16, 64
 LEAST_POWER = 512
 #: Ids that are packed at once.
-BLOCK = 1 << 21
-#: Entries of a worker's cache; beyond it the cache starts anew.
-CACHE_ENTRIES = 900_000
+BLOCK = 1 << 20
+#: Entries of each of a worker's two caches (about 200 bytes each); beyond it a cache starts anew.
+CACHE_ENTRIES = 200_000
 
 #: Latin words with what may follow them. Their letters are precomposed, so that normalisation only lower-cases them.
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: What a sentence's last word ends with.
+_STOPS = frozenset(".!?")
+
+
+def _gathered(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The slices ``pool[begin[i]:begin[i] + size[i]]`` in a row."""
+    upto = np.cumsum(size)
+    return pool[np.repeat(begin - upto + size, size) + np.arange(int(size.sum()))].astype("<u4", copy=False)
+
+
+class _Pool:
+    """Ids by string. Strings have numbers; a number's ids are ``pool[begin:begin + size]``, and ``stop`` says that it may end a
+    sentence. Number 0 is the empty string."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {"": 0}
+        self.pool, self.begin, self.size = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.used, self.stop = np.zeros(1, np.int64), np.zeros(1, bool)
+
+    def add(self, names: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.number.update(zip(names, range(len(self.size), len(self.size) + len(names))))
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.pool = np.concatenate([self.pool, ids])
+        self.used = np.concatenate([self.used, np.zeros(len(names), np.int64)])
+        self.stop = np.concatenate([self.stop, np.array([n[-1:] in _STOPS for n in names], bool)])
+
+    def take(self, numbers: np.ndarray) -> np.ndarray:
+        self.used += np.bincount(numbers, minlength=len(self.used))
+        return _gathered(self.pool, self.begin[numbers], self.size[numbers])
+
+    def shrunk(self, entries: int) -> _Pool:
+        """Itself, or beyond so many entries a new one with the half of them that was used most."""
+        if len(self.size) <= entries:
+            return self
+        best = np.sort(np.argsort(-self.used[1:], kind="stable")[: entries // 2]) + 1
+        names, out = list(self.number), _Pool()  # names stand in the order of their numbers
+        out.add([names[i] for i in best.tolist()], _gathered(self.pool, self.begin[best], self.size[best]), self.size[best])
+        out.used[1:] = self.used[best] // 2
+        return out
 
 
 class WordIds:
@@ -56,20 +97,15 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._forget()
-        self.words: dict[str, np.ndarray] = {"": np.zeros(0, "<u4")}
+        self.parts, self.words = _Pool(), _Pool()
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
 
-    def _forget(self) -> None:
-        """Parts have numbers; a number's ids are ``pool[begin:begin + size]``, and ``stop`` says that a sentence or line ends."""
-        self.parts: dict[str, int] = {"": 0, "\n": 1}
-        self.pool = np.zeros(0, "<u4")
-        self.begin, self.size, self.stop = np.zeros(2, np.int64), np.zeros(2, np.int64), np.array([False, True])
-
-    def _tokenise(self, parts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def _tokenise(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many belong to each part."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), "<u4"), np.array([*map(len, found)], np.int64)
 
     def _learn(self, unseen: list[str]) -> None:
         plain, odd, need = [], [], set()
@@ -79,48 +115,42 @@ class WordIds:
                 need.update(m.groups())
             else:
                 odd.append(p)
-        need = [w for w in need if w not in self.words]
+        need.difference_update(self.words.number)
         letters, marks = [w for w in need if w[0].isalpha()], [w for w in need if not w[0].isalpha()]
-        self.words.update(zip(marks, self._tokenise(marks)))
+        self.words.add(marks, *self._tokenise(marks))
         for i in range(0, len(letters), 1000):  # many words to a text: each ends with its only word-end token
             some = letters[i : i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cut = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
-            self.words.update(zip(some, [ids[a:b] for a, b in zip([0, *cut], cut)], strict=True))
-        new, words = [*odd, *(p for p, _, _ in plain)], self.words
-        pieces = self._tokenise(odd)
-        size = [*map(len, pieces), *(len(words[w]) + len(words[m]) for _, w, m in plain)]
-        for _, w, m in plain:
-            pieces.append(words[w])
-            if m:
-                pieces.append(words[m])
-        self.parts.update(zip(new, range(len(self.size), len(self.size) + len(new))))
-        size = np.array(size, np.int64)
-        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.stop = np.concatenate([self.stop, np.array([p[-1] in ".!?" for p in new], bool)])
-        self.pool = np.concatenate([self.pool, *pieces])
+            ids, _ = self._tokenise([" ".join(some)])
+            size = np.diff(np.flatnonzero(self.ends_word[ids]) + 1, prepend=0)
+            if len(size) != len(some):
+                raise ValueError("a word without an end, or with several")
+            self.words.add(some, ids, size)
+        ids, size = self._tokenise(odd)
+        self.parts.add(odd, ids, size)
+        number = self.words.number
+        both = np.array([(number[w], number[m]) for _, w, m in plain], np.int64).reshape(-1, 2)
+        self.parts.add([p for p, _, _ in plain], self.words.take(both.ravel()), self.words.size[both].sum(axis=1))
 
     def ids(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
         """Each text's ids (little-endian unsigned 32-bit), and after how many of them a sentence or line ends."""
-        if len(self.parts) > CACHE_ENTRIES:
-            self._forget()
-        if len(self.words) > CACHE_ENTRIES:
-            self.words = {"": np.zeros(0, "<u4")}
-        split = [t.replace("\n", " \n ").split(" ") for t in texts]
-        parts, count = list(chain.from_iterable(split)), np.fromiter(map(len, split), np.int64, len(split))
-        number = np.fromiter(map(self.parts.get, parts, repeat(-1)), np.int64, len(parts))
+        self.parts, self.words = self.parts.shrunk(CACHE_ENTRIES), self.words.shrunk(CACHE_ENTRIES)
+        lines = [t.split("\n") for t in texts]
+        rows = [x.split(" ") for t in lines for x in t]
+        parts, count = list(chain.from_iterable(rows)), np.fromiter(map(len, rows), np.int64, len(rows))
+        known = self.parts.number
+        number = np.fromiter(map(known.get, parts, repeat(-1)), np.int64, len(parts))
         missing = np.flatnonzero(number < 0)
         if len(missing):
             unseen = [parts[i] for i in missing.tolist()]
             self._learn(list(dict.fromkeys(unseen)))
-            number[missing] = np.fromiter(map(self.parts.__getitem__, unseen), np.int64, len(unseen))
-        size = self.size[number]
-        upto = np.cumsum(size)
-        flat = self.pool[np.repeat(self.begin[number] - upto + size, size) + np.arange(int(size.sum()))].astype("<u4", copy=False)
-        last = np.cumsum(count)  # parts up to each text's end; every text has one at least
+            number[missing] = np.fromiter(map(known.__getitem__, unseen), np.int64, len(unseen))
+        flat, upto = self.parts.take(number), np.cumsum(self.parts.size[number])
+        stop = self.parts.stop[number]
+        stop[np.cumsum(count) - 1] = True  # a line's end
+        lines_upto = np.cumsum([len(t) for t in lines])
+        last = np.cumsum(count)[lines_upto - 1]  # parts up to each text's end; every text has one at least
         edge = np.concatenate([[0], upto[last - 1]])
-        at = np.flatnonzero(self.stop[number])
+        at = np.flatnonzero(stop)
         of, ends = np.searchsorted(last, at, side="right"), upto[at]
         new = np.ones(len(at), bool)
         new[1:] = (of[1:] != of[:-1]) | (ends[1:] != ends[:-1])
@@ -147,14 +177,14 @@ def cuts(length: int, places: np.ndarray, penalty: np.ndarray, window: int = WIN
         places, penalty = np.concatenate([places, more]), np.concatenate([penalty, np.full(len(more), HARD_CUT)])
         order = np.argsort(places, kind="stable")
         places, penalty = places[order], penalty[order]
-    p = [0, *places.tolist()]
-    cost = [0, *penalty.tolist()]
+    pos = np.concatenate([[0], places])
+    n = len(pos)
+    p, cost = array("q", pos.astype(np.int64).tobytes()), array("q", np.concatenate([[0], penalty]).astype(np.int64).tobytes())
     cost[-1] = 0
-    n = len(p)
     at = np.full(length + 1, -1, np.int32)
-    at[p] = np.arange(n)
+    at[pos] = np.arange(n)
     exact: dict[int, list[int]] = {}
-    power, pos = LEAST_POWER, np.array(p)
+    power = LEAST_POWER
     while power < window:  # boundaries that a power of two parts
         src = at[np.maximum(pos - power, 0)]
         hit = np.flatnonzero((pos >= power) & (src >= 0))
@@ -162,7 +192,8 @@ def cuts(length: int, places: np.ndarray, penalty: np.ndarray, window: int = WIN
             exact.setdefault(j, []).append(i)
         power *= 2
     # The queue holds boundaries with ascending f(i) + p(i); its first is the best of those in reach.
-    f, come, q_at, q_key, q_i, top = [0.0] * n, [0] * n, [0], [0.0], [0], 0
+    f, come = array("d", bytes(8 * n)), array("q", bytes(8 * n))
+    q_at, q_key, q_i, top = array("q", [0]), array("d", [0.0]), array("q", [0]), 0
     for j in range(1, n):
         here = p[j]
         while here - q_at[top] > window:
@@ -238,14 +269,13 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 2,
 
         def flush():
             nonlocal held, total, used
-            rows = _pieces(held, window)
-            cols = list(zip(*rows))
+            cols = list(zip(*_pieces(held, window)))
             seq = np.array(cols[5], np.int64) + base + used
             used += cols[5][-1] + 1
             held, total = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*cols[:5], seq, cols[6])], names)
 
-        for b in common.chunks(batches):
+        for b in common.chunks(batches, 2 << 20):
             for doc_id, (ids, ends) in zip(b.column(0).to_pylist(), words.ids(b.column(1).to_pylist())):
                 held.append((doc_id, ids + tail, ends))
                 total += len(ids) // 4 + 1
@@ -255,5 +285,5 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 2,
             yield flush()
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = common.texts(docs).repartitionByRange(n, "doc_id").withColumn("h", F.xxhash64("text")).sortWithinPartitions("doc_id", "h").drop("h")
-    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    dealt = common.texts(docs).withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
+    return common.mapped(dealt, run, ", ".join(f"{c} long" for c in names))
