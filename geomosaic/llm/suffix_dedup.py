@@ -6,17 +6,23 @@ whole corpus, so windows are routed first, without losing a match:
 1. A window's anchor is the least hash of its GRAM-byte strings. Equal windows have equal anchors, so all copies of a window
    meet under one anchor. Consecutive windows with one anchor form a run; a run's context is the bytes of its windows. Anchors
    that occur once in the corpus are dropped (counts, then a semi-join): their windows are unique.
-2. Contexts that occur more than once, byte for byte, are duplicates as a whole. What is left to decide are anchors with
-   several different contexts; one copy of each context is fetched from its document.
-3. Per bin of anchors the contexts are concatenated (distinct separators) and indexed: suffix order by prefix doubling, the
-   Burrows-Wheeler transform cut into runs, and samples kept at run heads and run ends alone, each with the length of its match
-   with the neighbour in suffix order. Streaming over the text, the match length at a position follows from the last sample
-   before it, less the distance; the larger of both neighbours' is the longest match with any other position. Positions with
-   LENGTH or more are marked: repetitive contexts have few runs, so few matches are ever compared.
+2. Runs are grouped by anchor and context; groups that can hold a repeat (several contexts under an anchor, a context found more
+   than once, an anchor twice in its run) send one or two of their contexts' bodies, cut from their documents.
+3. Per bin of anchors the different bodies are concatenated (distinct separators), each with the number of times that it came,
+   and indexed: suffix order by prefix doubling, the Burrows-Wheeler transform cut into runs, and samples kept at run heads and
+   run ends alone, each with the length of its match with the neighbour in suffix order. A body that came twice stands there
+   twice, beside itself. Streaming over the text, the match length at a position follows from the last sample before it, less
+   the distance; the larger of both neighbours' is the longest match with any other position. Positions with LENGTH or more
+   are marked: repetitive contexts have few runs, so few matches are ever compared.
 4. Marks go back to all runs of the same context, and each document cuts the union of its marked windows.
 
+Every mark comes from an index over bytes; hashes only route windows, and tell which runs have the context that was indexed.
+
 Anchors with more than HOT contexts (a passage in a large share of all documents, before ever different text) would put an
-unbounded group into one bin. Their windows are counted by 128-bit hashes instead, merged in each task before they are dealt.
+unbounded group into one bin. Their windows are dealt again, by a longer string that they must share (``CORES``): windows in
+which the anchor stands about as far from the window's begin have a core of LENGTH - step + 1 bytes in common if they are
+equal. Cores that occur once are dropped as anchors are. The last step's core is the window itself, so no group stays hot, and
+only windows at the passage's very ends get so far.
 
 Texts are shuffled twice, compressed; runs once. Contexts and spans of one document are bounded by its length.
 """
@@ -40,8 +46,9 @@ LENGTH, GRAM = 200, 24
 RUN = 256
 #: Bytes of a text that are scanned at once, and bytes of contexts in one index.
 SEGMENT, BIN_BYTES = 1 << 18, 1 << 17
-#: Different contexts under one anchor beyond which windows are counted by hash.
+#: Different contexts under one key beyond which its windows are dealt again, and by how many places of the anchor each time.
 HOT = 512
+CORES = (44, 11, 1)
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _INVERSE = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
 
@@ -142,13 +149,17 @@ def _runs(docs: DataFrame) -> DataFrame:
                     ["did", "th", "ws", "wn", "h", "c", "several"],
                 )
 
-    return docs.select("did", "th", "text").mapInArrow(run, "did long, th long, ws long, wn int, h long, c long, several boolean")
+    return common.mapped(docs.select("did", "th", "text"), run, "did long, th long, ws long, wn int, h long, c long, several boolean")
 
 
 class RunLengthIndex:
-    """A run-compressed Burrows-Wheeler transform of several strings, with samples at run heads and run ends."""
+    """A run-compressed Burrows-Wheeler transform of several strings, with samples at run heads and run ends.
+
+    times: how often each string stands in the collection. Copies would be neighbours in every row, so a row counts for all of
+    them, and its match with the next one is its whole rest.
+    """
 
-    def __init__(self, strings: list[bytes]):
+    def __init__(self, strings: list[bytes], times: list[int] | None = None):
         size = np.array([len(s) for s in strings])
         n = int(size.sum()) + len(strings)
         text = np.zeros(n, np.int64)  # a byte plus 1; 0 is a separator
@@ -158,6 +169,7 @@ class RunLengthIndex:
         text[solid] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
         left = np.repeat(self.begin + size, size + 1) - np.arange(n)  # bytes up to the separator
         self.text, self.left = text, left
+        self.several = np.repeat(np.array(times or [1] * len(strings)) > 1, size + 1)
         order = self._suffix_order(int(size.max()) if len(size) else 0)
         # The transform. Separators differ from each other, so each is a run of its own.
         before = np.where(order > 0, text[order - 1], 0)
@@ -214,7 +226,7 @@ class RunLengthIndex:
         for place, match in self.samples:
             last = np.searchsorted(place, i, side="right") - 1
             out = np.maximum(out, np.where(last >= 0, match[last] - (i - place[last]), 0))
-        return np.minimum(out, self.left)
+        return np.where(self.several, self.left, np.minimum(out, self.left))
 
 
 def _spans(flags: np.ndarray) -> np.ndarray:
@@ -230,111 +242,36 @@ def _packed(starts: np.ndarray) -> bytes:
 _CONTEXT = ["h", "c", "marks"]
 
 
-def _mark_by_index(contexts: DataFrame) -> DataFrame:
-    """h, c, marks for contexts (h, c, body) that lie together by h: one index for about BIN_BYTES of whole anchors."""
+def _marked_contexts(bodies: DataFrame) -> DataFrame:
+    """h, c, marks for bodies (h, c, n, body) that lie together by h: one index for about BIN_BYTES of whole groups."""
 
     def flush(rows):
-        index = RunLengthIndex([r[2] for r in rows])
+        strings: dict[tuple[int, bytes], int] = {}
+        for h, _, n, body in rows:
+            strings[h, body] = strings.get((h, body), 0) + n
+        index = RunLengthIndex([body for _, body in strings], list(strings.values()))
         long = index.matching_statistics() >= LENGTH
-        out = []
-        for (h, c, body), b in zip(rows, index.begin.tolist()):
-            flags = long[b : b + len(body)]
-            if flags.any():
-                out.append((h, c, _packed(_spans(flags))))
-        cols = list(zip(*out)) or [(), (), ()]
+        spans = {}
+        for key, b in zip(strings, index.begin.tolist()):
+            flags = long[b : b + len(key[1])]
+            spans[key] = _packed(_spans(flags)) if flags.any() else b""
+        out = {(h, c, m) for h, c, _, body in rows if (m := spans[h, body])}
+        cols = list(zip(*sorted(out))) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], _CONTEXT)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, seen = [], 0, None
+        rows, size = [], 0
         for b in batches:
-            for h, c, body in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if (h, c) == seen:
-                    continue
-                if rows and size >= BIN_BYTES and h != rows[-1][0]:
+            for row in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if rows and size >= BIN_BYTES and row[0] != rows[-1][0]:
                     yield flush(rows)
                     rows, size = [], 0
-                rows.append((h, c, body))
-                size += len(body)
-                seen = (h, c)
+                rows.append(row)
+                size += len(row[3])
         if rows:
             yield flush(rows)
 
-    return contexts.mapInArrow(run, "h long, c long, marks binary")
-
-
-_WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("h", "<i8"), ("c", "<i8"), ("i", "<i4"), ("n", "<i4")])
-
-
-def _mark_by_hash(spark: SparkSession, contexts: DataFrame, parts: int) -> DataFrame:
-    """h, c, marks for contexts of hot anchors. Each task merges its own equal windows first: those found twice are marked
-    there, and every distinct window leaves the task once."""
-
-    def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows):
-            data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
-            size = np.array([len(r[2]) for r in rows])
-            base = np.cumsum(size) - size
-            count = size - LENGTH + 1
-            start = np.repeat(base, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            w = np.zeros(len(start), _WINDOW)
-            w["a"], w["b"] = _Rolling(data, 0)(start, start + LENGTH), _Rolling(data, 1)(start, start + LENGTH)
-            w["h"], w["c"] = np.repeat([r[0] for r in rows], count), np.repeat([r[1] for r in rows], count)
-            w["i"], w["n"] = start - np.repeat(base, count), 1
-            yield from _meet(w, parts)
-
-        rows, size, seen = [], 0, None
-        for b in batches:
-            for h, c, body in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if (h, c) != seen:
-                    rows.append((h, c, body))
-                    size += len(body)
-                    seen = (h, c)
-                if size >= 32 * BIN_BYTES:
-                    yield from flush(rows)
-                    rows, size = [], 0
-        if rows:
-            yield from flush(rows)
-
-    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: dict[int, list[bytes]] = {}
-        for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                blobs.setdefault(bucket, []).append(blob)
-        for held in blobs.values():
-            yield from _meet(np.frombuffer(b"".join(held), _WINDOW), 0)
-
-    kinds = "bucket int, blob binary, h long, c long, marks binary"
-    first = session.written(spark, contexts.mapInArrow(local, kinds), "windows")
-    second = first.where("bucket IS NOT NULL").select("bucket", "blob").repartition(parts, "bucket").mapInArrow(meet, kinds)
-    return first.where("bucket IS NULL").select(*_CONTEXT).unionByName(second.select(*_CONTEXT))
-
-
-def _meet(w: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """Marks of windows that occur twice among ``w``; with ``parts``, also each distinct window for the bucket of its hash."""
-    order = np.lexsort((w["b"], w["a"]))
-    w = w[order]
-    new = np.concatenate([[True], (w["a"][1:] != w["a"][:-1]) | (w["b"][1:] != w["b"][:-1])])
-    group = np.cumsum(new) - 1
-    total = np.bincount(group, w["n"]).astype(np.int64)
-    twice = w[(total[group] > 1) & (w["n"] == 1)]  # those with n = 2 were marked before
-    rows = []
-    if len(twice):
-        twice = twice[np.lexsort((twice["i"], twice["c"], twice["h"]))]
-        edge = np.flatnonzero(np.concatenate([[True], (twice["h"][1:] != twice["h"][:-1]) | (twice["c"][1:] != twice["c"][:-1])]))
-        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(twice)]):
-            i = np.unique(twice["i"][a:b])
-            cut = np.flatnonzero(np.diff(i) > 1)
-            rows.append((None, None, int(twice["h"][a]), int(twice["c"][a]), _packed(np.stack([i[np.append(0, cut + 1)], i[np.append(cut, len(i) - 1)]], axis=1))))
-    if parts:
-        one = w[new].copy()
-        one["n"] = np.minimum(total, 2)
-        bucket = (one["a"] % np.uint64(parts)).astype(np.int64)
-        one = one[np.argsort(bucket, kind="stable")]
-        bucket = np.sort(bucket)
-        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        rows += [(int(bucket[a]), one[a:b].tobytes(), None, None, None) for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(one)])]
-    cols = list(zip(*rows)) or [()] * 5
-    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], ["bucket", "blob", "h", "c", "marks"])
+    return common.mapped(bodies, run, "h long, c long, marks binary")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -351,34 +288,85 @@ def _compressed(docs: DataFrame) -> DataFrame:
             z = [squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(z, pa.binary())], ["did", "th", "doc_id", "z"])
 
-    return docs.mapInArrow(run, "did long, th long, doc_id long, z binary")
+    return common.mapped(docs, run, "did long, th long, doc_id long, z binary")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, c, hot, body of the wanted contexts, cut from one document each."""
+    """h, c, n, body of the wanted contexts (h, c, n, did, th, ws, wn), cut from their documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
+        expand, seen = zstandard.ZstdDecompressor(), None
         for b in batches:
             rows = []
-            for z, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                text = expand.decompress(z)
-                rows += [(w["h"], w["c"], w["hot"], text[w["ws"] : w["ws"] + w["wn"] + LENGTH - 1]) for w in want]
+            for did, th, z, want in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if (did, th) == seen:  # a repeated row
+                    continue
+                seen, text = (did, th), expand.decompress(z)
+                rows += [(w["h"], w["c"], w["n"], text[w["ws"] : w["ws"] + w["wn"] + LENGTH - 1]) for w in want]
             cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["h", "c", "hot", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["h", "c", "n", "body"])
+
+    per = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("h", "c", "n", "ws", "wn")).alias("want"))
+    joined = _compressed(docs).hint("merge").join(per, ["did", "th"])  # sorted, so that repeated rows stand together
+    return common.mapped(joined.select("did", "th", "z", "want"), run, "h long, c long, n int, body binary")
+
+
+def cores(text: bytes, rows: list[tuple[int, int, int, int]], step: int) -> list[tuple[int, int, int, int, int]]:
+    """Parts of runs whose windows must share a core if they are equal: (place in rows, first window, windows, key, context).
+
+    rows: (first window, windows, anchor, key so far). A window's place in a run is told by the anchor's first occurrence in it,
+    ``j`` bytes from its begin; windows with equal ``j // step`` share the bytes from the anchor less step * (j // step) on.
+    """
+    out = []
+    for nth, (ws, wn, anchor, key) in enumerate(rows):
+        data = np.frombuffer(text, np.uint8, wn + LENGTH - 1, ws)
+        roll, context = _Rolling(data, 0), _Rolling(data, 1)
+        places = np.flatnonzero(roll(slice(0, len(data) - GRAM + 1), slice(GRAM, len(data) + 1)).view(np.int64) == anchor)
+        i = np.arange(wn)
+        at = places[np.searchsorted(places, i)]
+        band = (at - i) // step
+        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (band[1:] != band[:-1])]))
+        count = np.diff(np.append(new, wn))
+        begin = at[new] - step * band[new]
+        core = roll(begin, begin + LENGTH - step + 1)
+        name = common.mix(core ^ common.mix(np.uint64(key % (1 << 64)) + band[new].astype(np.uint64) * common.GOLD + np.uint64(step))).view(np.int64)
+        body = context(new, new + count + LENGTH - 1).view(np.int64)
+        out += zip([nth] * len(new), (new + ws).tolist(), count.tolist(), name.tolist(), body.tolist())
+    return out
+
+
+def _dealt_again(docs: DataFrame, hot: DataFrame, step: int) -> DataFrame:
+    """The windows of hot runs (did, th, ws, wn, anchor, h, k) by cores: did, th, ws, wn, anchor, h, c, several, k."""
 
-    per = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("h", "c", "hot", "ws", "wn")).alias("want"))
-    return _compressed(docs).join(per, ["did", "th"]).select("z", "want").mapInArrow(run, "h long, c long, hot boolean, body binary")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand, seen = zstandard.ZstdDecompressor(), None
+        for b in batches:
+            cols: list[list] = [[] for _ in range(8)]
+            for did, th, z, held in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if (did, th) == seen:
+                    continue
+                seen, text = (did, th), expand.decompress(z)
+                for nth, ws, wn, h, c in cores(text, [(r["ws"], r["wn"], r["anchor"], r["h"]) for r in held], step):
+                    for x, v in zip(cols, (did, th, ws, wn, held[nth]["anchor"], h, c, held[nth]["k"])):
+                        x.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["did", "th", "ws", "wn", "anchor", "h", "c", "k"])
+
+    per = hot.groupBy("did", "th").agg(F.collect_list(F.struct("ws", "wn", "anchor", "h", "k")).alias("held"))
+    joined = _compressed(docs).hint("merge").join(per, ["did", "th"])  # sorted, so that repeated rows stand together
+    parted = common.mapped(joined.select("did", "th", "z", "held"), run, "did long, th long, ws long, wn int, anchor long, h long, c long, k long")
+    # Windows of one part differ: the anchor's first occurrence in each lies elsewhere.
+    return parted.groupBy("h", "c", "wn", "did", "th", "ws", "anchor").agg(F.max("k").alias("k")).withColumn("several", F.lit(False))
 
 
 def _cut(text: bytes, found: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal byte ranges covered by marked windows. found: runs with ws, wn and marks (null: all windows)."""
+    """Maximal byte ranges covered by marked windows. found: runs with ws and marks."""
     if not found:
         return []
     pairs = []
     for f in found:
         for m in f["marks"]:
-            pairs.append(np.frombuffer(m, "<i4").reshape(-1, 2).astype(np.int64) + f["ws"] if m else np.array([[f["ws"], f["ws"] + f["wn"] - 1]]))
+            pairs.append(np.frombuffer(m, "<i4").reshape(-1, 2).astype(np.int64) + f["ws"])
     p = np.concatenate(pairs)
     p = p[np.argsort(p[:, 0], kind="stable")]
     end = np.maximum.accumulate(p[:, 1] + LENGTH)
@@ -388,24 +376,47 @@ def _cut(text: bytes, found: list[dict] | None) -> list[tuple[int, int]]:
     return list(zip(p[first, 0].tolist(), end[last].tolist()))
 
 
+_RUN = ["did", "th", "ws", "wn", "anchor", "h", "c", "several", "k"]
+
+
 def found_runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """did, th, found: the runs with marks of each document that has any. ``docs`` as ``_keyed`` gives them."""
+    """did, th, found: the runs with marks of each document that has any. ``docs`` as ``_keyed`` gives them.
+
+    Rows that share did and th are one document that stands there ``k`` times.
+    """
     common.small_batches(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs = _runs(docs)
     counts = runs.groupBy("h").agg(F.sum(F.when(F.col("several"), 2).otherwise(1)).alias("n"))
     anchors = session.written(spark, counts.where("n > 1").select("h"), "anchors")
-    cand = session.written(spark, runs.join(anchors, "h", "left_semi"), "runs")
-    distinct = session.written(spark, cand.groupBy("h", "c", "wn").agg(F.count("*").alias("n"), F.max("several").alias("several"), F.min(F.struct("did", "th", "ws")).alias("at")), "contexts")
-    keys = distinct.groupBy("h").agg(F.count("*").alias("nd"), F.max("several").alias("any_several")).where("nd > 1 OR any_several")
-    keys = session.written(spark, keys.select("h", (F.col("nd") > HOT).alias("hot")), "keys")
-    wanted = distinct.join(keys, "h").select("h", "c", "hot", "at.*", "wn")
-    bodies = session.written(spark, _contexts(docs, wanted), "bodies")
-    cold = bodies.where("NOT hot").select("h", "c", "body").repartition(parts, "h").sortWithinPartitions("h", "c")
-    found = _mark_by_index(cold).unionByName(_mark_by_hash(spark, bodies.where("hot").select("h", "c", "body"), parts))
-    whole = distinct.where("n > 1").select("h", "c", F.lit(b"").alias("marks"))  # empty: every window
-    marks = session.written(spark, found.unionByName(whole).groupBy("h", "c").agg(F.collect_list("marks").alias("marks")), "marks")
-    return cand.join(marks, ["h", "c"]).groupBy("did", "th").agg(F.collect_list(F.struct("ws", "wn", "marks")).alias("found"))
+    cand = runs.join(anchors, "h", "left_semi").groupBy("h", "c", "wn", "did", "th", "ws", "several").agg(F.count("*").alias("k")).withColumn("anchor", F.col("h"))
+    done, wanted, step = [], [], 0
+    while True:
+        cand = session.written(spark, cand.select(*_RUN), "runs")
+        places = [F.struct("did", "th", "ws").alias("at")]
+        distinct = cand.groupBy("h", "c", "wn").agg(F.sum("k").alias("n"), F.max("several").alias("several"), F.min(*places).alias("one"), F.max(*places).alias("two"))
+        distinct = session.written(spark, distinct, "contexts")
+        keys = distinct.groupBy("h").agg(F.count("*").alias("nd"), F.max("n").alias("most"), F.max("several").alias("several"))
+        last = step == len(CORES)
+        hot = F.lit(False) if last else F.col("nd") > HOT
+        keys = session.written(spark, keys.where("nd > 1 OR most > 1 OR several").select("h", hot.alias("hot"), (F.col("nd") > 1).alias("mixed")), "keys")
+        # alone under its key a context is a repeat of itself or nothing; beside others, one that came once counts as well
+        use = distinct.join(keys.where("NOT hot"), "h").where("n > 1 OR several OR mixed")
+        each = F.when(F.col("n") < 2, F.array(F.struct("one", F.lit(1).alias("n")))).when(F.col("one") == F.col("two"), F.array(F.struct("one", F.lit(2).alias("n")))).otherwise(F.array(F.struct("one", F.lit(1).alias("n")), F.struct(F.col("two").alias("one"), F.lit(1).alias("n"))))
+        wanted.append(use.select("h", "c", "wn", F.explode(each).alias("e")).select("h", "c", "wn", "e.n", "e.one.*"))
+        done.append(cand)
+        if last or not keys.where("hot").limit(1).count():
+            break
+        again = _dealt_again(docs, cand.join(keys.where("hot").select("h"), "h", "left_semi"), CORES[step])
+        again = session.written(spark, again, "cores")
+        twice = session.written(spark, again.groupBy("h").agg(F.sum("k").alias("n")).where("n > 1").select("h"), "shared")
+        cand = again.join(twice, "h", "left_semi")
+        step += 1
+    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
+    bodies = session.written(spark, _contexts(docs, union(wanted)), "bodies")
+    found = _marked_contexts(bodies.repartition(parts, "h").sortWithinPartitions("h", "c"))
+    marks = session.written(spark, found.groupBy("h", "c").agg(F.collect_set("marks").alias("marks")), "marks")
+    return union(done).join(marks, ["h", "c"]).groupBy("did", "th").agg(F.collect_list(F.struct("ws", "marks")).alias("found"))
 
 
 def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -445,7 +456,7 @@ def cleaned(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    return key.join(found, ["did", "th"], "left").select("row", "found").mapInArrow(run, schema)
+    return common.mapped(key.join(found, ["did", "th"], "left").select("row", "found"), run, schema)
 
 
 def removed(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -471,4 +482,4 @@ def removed(spark: SparkSession, docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return marked(spark, docs).select("doc_id", "z", "found").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return common.mapped(marked(spark, docs).select("doc_id", "z", "found"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
