@@ -4,11 +4,12 @@ A document is the multiset of its paragraphs (text between line feeds). Each par
 vectors add up lane by lane modulo powers of two, so the order of paragraphs doesn't matter and a paragraph is inserted or
 deleted by adding or subtracting its vector.
 
-Lanes: 8 of 64 bits (BLAKE2b of the paragraph, sums modulo 2^64) decide equality; 128 of 16 bits (sums modulo 2^16) decide
+Lanes: 8 of 64 bits (BLAKE2b of the paragraph, sums modulo 2^64) decide equality; 128 of 32 bits (sums modulo 2^32) decide
 likeness. A paragraph's likeness lanes add +1 or -1 for each of its five-word shingles (a shorter paragraph is one shingle),
-signs taken from the shingle's hash; so they are sums over paragraphs as well. For two documents the mean square of the
-lanes' differences estimates the size of the shingles' symmetric difference, and likeness is one minus that over the sum of
-both sizes, held to 0..1. Equal fingerprints have likeness 1.
+signs taken from the shingle's hash; so they are sums over paragraphs as well. For two documents with shingle counts a and b the
+mean square of the lanes' differences estimates the squared distance sum (a - b)^2, and likeness is one minus that over
+sum a^2 + b^2, held to 0..1. Without repeated shingles that distance is the size of the symmetric difference; a shingle that
+stands k times in one text alone counts k^2. Equal fingerprints have likeness 1.
 
 An empty or null text is one empty paragraph. Words are runs of non-space characters.
 """
@@ -16,6 +17,8 @@ An empty or null text is one empty paragraph. Words are runs of non-space charac
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -50,9 +53,9 @@ def _lookup(words: list[str]) -> np.ndarray:
 
 
 def paragraph_vectors(paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 8) uint64 and (n, 128) uint16 lanes of single paragraphs."""
+    """(n, 8) uint64 and (n, 128) uint32 lanes of single paragraphs."""
     n = len(paragraphs)
-    signs = np.zeros((n, SIGNS), np.uint16)
+    signs = np.zeros((n, SIGNS), np.uint32)
     lanes = np.frombuffer(b"".join([hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=8 * LANES).digest() for p in paragraphs]), np.uint64).reshape(n, LANES)
     words, span, owner = [], [], []
     for i, p in enumerate(paragraphs):
@@ -77,7 +80,7 @@ def paragraph_vectors(paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         wide = np.stack([common.mix(part), common.mix(part + common.GOLD)], axis=1).view(np.uint8)
         begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         count = np.diff(np.append(begin, len(own)))
-        signs[own[begin]] += (2 * common.bit_sums(wide, begin) - count[:, None]).astype(np.uint16)
+        signs[own[begin]] += (2 * common.bit_sums(wide, begin) - count[:, None]).astype(np.uint32)
     return lanes, signs
 
 
@@ -86,12 +89,12 @@ def _prefix_sums(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     split = [t.split("\n") for t in texts]
     lanes, signs = paragraph_vectors([p for ps in split for p in ps])
     first = np.concatenate([[0], np.cumsum([len(ps) for ps in split], dtype=np.int64)])
-    zero = np.zeros((1, LANES), np.uint64), np.zeros((1, SIGNS), np.uint16)
-    return np.concatenate([zero[0], np.cumsum(lanes, axis=0, dtype=np.uint64)]), np.concatenate([zero[1], np.cumsum(signs, axis=0, dtype=np.uint16)]), first
+    zero = np.zeros((1, LANES), np.uint64), np.zeros((1, SIGNS), np.uint32)
+    return np.concatenate([zero[0], np.cumsum(lanes, axis=0, dtype=np.uint64)]), np.concatenate([zero[1], np.cumsum(signs, axis=0, dtype=np.uint32)]), first
 
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 8) uint64 and (n, 128) uint16 lanes of the texts."""
+    """(n, 8) uint64 and (n, 128) uint32 lanes of the texts."""
     lanes, signs, first = _prefix_sums(texts)
     return lanes[first[1:]] - lanes[first[:-1]], signs[first[1:]] - signs[first[:-1]]
 
@@ -124,18 +127,18 @@ def edited_vectors(chain: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tup
 
 
 def combine(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], sign: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Insert (sign 1) or delete (sign -1) b's paragraphs: lane-wise sums modulo 2^64 and 2^16."""
+    """Insert (sign 1) or delete (sign -1) b's paragraphs: lane-wise sums modulo 2^64 and 2^32."""
     return (a[0] + b[0], a[1] + b[1]) if sign > 0 else (a[0] - b[0], a[1] - b[1])
 
 
 def hexed(lanes: np.ndarray, signs: np.ndarray) -> list[str]:
-    return [(x.tobytes() + y.tobytes()).hex() for x, y in zip(lanes.astype("<u8"), signs.astype("<u2"))]
+    return [(x.tobytes() + y.tobytes()).hex() for x, y in zip(lanes.astype("<u8"), signs.astype("<u4"))]
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """0..1 for each row; 1 where the fingerprints are equal."""
-    x, y = a[1].view(np.int16).astype(np.float64), b[1].view(np.int16).astype(np.float64)
-    d = (a[1] - b[1]).view(np.int16).astype(np.float64)
+    x, y = a[1].view(np.int32).astype(np.float64), b[1].view(np.int32).astype(np.float64)
+    d = (a[1] - b[1]).view(np.int32).astype(np.float64)
     both = (x * x).sum(1) + (y * y).sum(1)
     out = np.clip(1 - (d * d).sum(1) / np.where(both > 0, both, 1), 0, 1)
     equal = (a[0] == b[0]).all(1) & (a[1] == b[1]).all(1)
@@ -149,37 +152,56 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in common.chunks(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hexed(*vectors(b.column(1).to_pylist())), pa.string())], ["doc_id", "fingerprint"])
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, fingerprint string")
+    return common.mapped(common.texts(docs), run, "doc_id long, fingerprint string")
+
+
+def _range_of(bounds: list[tuple[int, int]], k, h):
+    """How many of the bounds, in descending order, are not below (k, h). Two short scans of literals: first over every step-th
+    bound, then over the step behind it."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    table = lambda rows: F.array(*[F.struct(F.lit(x).cast("long").alias("k"), F.lit(y).cast("long").alias("h")) for x, y in rows])
+    upto = lambda rows: F.size(F.filter(rows, lambda b: (b["k"] > k) | ((b["k"] == k) & (b["h"] >= h))))
+    coarse = upto(table(bounds[step - 1 :: step]))
+    return coarse * step + upto(F.slice(table(bounds), coarse * step + 1, F.lit(step)))
 
 
 def _next_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Rows dealt to ranges of descending doc_id (``part``), in order within each, and after each range's rows a copy of the
-    row that follows (``tail``). One shuffle of the texts; only one id and count for each range come to the driver.
+    """Rows dealt to ranges of descending (doc_id, text hash) (``part``), in order within each, and after each range's rows a copy
+    of the row that follows (``tail``). One shuffle of the texts; only a key for each range comes to the driver.
 
-    Order: doc_id descending, null ids last, equal ids by the text's hash.
+    Order: doc_id descending, null ids last, equal ids by the text's hash. An id that fills several ranges (rows without one)
+    is parted by the hash; equal rows stand in any order.
     """
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    src = common.texts(docs).withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
-    bounds = (src.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10 * max(1000, n))).head()[0] or []) if n > 1 else []
-    bounds = sorted(set(bounds))
-    part = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b >= F.col("k"))) if bounds else F.lit(0)
-    src = src.withColumn("part", part)
-    heads = sorted((r["part"], r["top"]) for r in src.groupBy("part").agg(F.max("k").alias("top")).collect())
+    src = common.texts(docs).withColumn("k", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("h", F.xxhash64("text"))
+    found = (src.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10 * max(1000, n))).head()[0] or []) if n > 1 else []
+    bounds, lowest, width = [], -(1 << 63), 1 << 64
+    for k, times in Counter(found).items():  # an id's hashes are spread evenly: as many cuts as it has bounds
+        bounds += [(k, lowest + width * i // times) for i in range(times)] if times > 1 else [(k, lowest)]
+    src = src.withColumn("part", _range_of(sorted(bounds, reverse=True), F.col("k"), F.col("h")))
+    key = F.struct("k", "h")
+    heads = sorted((r["part"], tuple(r["top"])) for r in src.groupBy("part").agg(F.max(key).alias("top")).collect())
     # each range's first row also follows the range before; the first of all follows the last
     follows = {top: heads[i - 1][0] for i, (_, top) in enumerate(heads)}
     if not follows:
-        return src.withColumn("tail", F.lit(False)).withColumn("h", F.lit(0).cast("long"))
-    copy = F.create_map(*[x for top, p in follows.items() for x in (F.lit(top).cast("long"), F.lit(p))])
-    places = F.when(copy[F.col("k")].isNotNull(), F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("tail")), F.struct(copy[F.col("k")].alias("part"), F.lit(True).alias("tail")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("tail"))))
-    dealt = src.withColumn("at", F.explode(places)).select("doc_id", "text", "k", F.col("at.part").alias("part"), F.col("at.tail").alias("tail"))
-    return dealt.withColumn("h", F.xxhash64("text")).repartition(n, "part").sortWithinPartitions("part", "tail", F.col("k").desc(), F.col("h").desc())
+        return src.withColumn("tail", F.lit(False))
+    one = lambda part, tail: F.struct(part.cast("int").alias("part"), F.lit(tail).alias("tail"))
+    copy = F.create_map(*[x for (k, h), p in follows.items() for x in (F.struct(F.lit(k).cast("long").alias("k"), F.lit(h).cast("long").alias("h")), F.lit(p))])
+    after = F.element_at(copy, key)
+    dealt = src.withColumn("at", F.explode(F.when(after.isNotNull(), F.array(one(F.col("part"), False), one(after, True))).otherwise(F.array(one(F.col("part"), False)))))
+    dealt = dealt.select("doc_id", "text", "k", "h", "at.part", "at.tail")
+    return dealt.repartitionById(n, "part").sortWithinPartitions("part", "tail", F.col("k").desc(), F.col("h").desc())
 
 
 def edited(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Each document beside its edited text: the last floor(n_chars / 2) code points replaced by the first as many (or all)
     of the next document in descending doc_id order; the last document is followed by the first.
 
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row for each input row.
+    Null texts count as empty; null ids come last; rows of one id stand by descending text hash, equal rows in any order; a
+    single row follows itself; an empty table gives no rows. Other columns are left out.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
@@ -188,7 +210,7 @@ def edited(spark: SparkSession, docs: DataFrame) -> DataFrame:
         chain, e = edited_vectors(own + nxt[-1:])  # row i's next is row i + 1
         f, g = tuple(x[:-1] for x in chain), tuple(x[1:] for x in chain)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(t) for t in own], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new], pa.string()), pa.array(hexed(*f), pa.string()), pa.array(hexed(*e), pa.string()), pa.array(likeness(f, e), pa.float64()), pa.array(likeness(f, g), pa.float64())],
+            [pa.array(ids, pa.int64()), pa.array([len(t) for t in own], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new], pa.string()), pa.array(hexed(*f), pa.string()), pa.array(hexed(*e), pa.string()), pa.array(likeness(f, e), pa.float64()), pa.array(likeness(f, g), pa.float64())],
             names,
         )
 
@@ -206,4 +228,4 @@ def edited(spark: SparkSession, docs: DataFrame) -> DataFrame:
                     size += len(text)
 
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _next_of(spark, docs).select("doc_id", "text", "part", "tail").mapInArrow(run, kinds)
+    return common.mapped(_next_of(spark, docs).select("doc_id", "text", "part", "tail"), run, kinds)
