@@ -1,8 +1,9 @@
 """Media columns: content-addressed payloads in tar shards.
 
-``store`` writes each distinct payload of a task once, as a member named by its SHA-256, into tar shards in the shared
-folder; rows carry digest, shard, offset and length. ``headers`` fills metadata columns by range reads of a member's first
-bytes alone, ``read_back`` reads whole members by range and decodes them.
+``store`` writes each distinct payload of a task once, as a member named by its whole SHA-256, into tar shards of about
+SHARD_BYTES in the shared folder; rows carry digest, shard, offset and length. ``indexed`` keeps these rows as Parquet beside the
+shards, so that stored media are found again. ``headers`` fills metadata columns by range reads of a member's first bytes alone,
+``read_back`` reads whole members by range and decodes them.
 
 The stored form is an 8-bit grayscale PNG, 64 samples wide (lossless; its deflate stream keeps shards below the payloads'
 size). A shard's name is the digest of its members' names, so a task that runs again writes the same file and the same rows;
@@ -31,8 +32,10 @@ from pyspark.sql import DataFrame
 from geomosaic.llm import common
 
 WIDTH = 64
-#: Bytes of members after which a shard is closed; a batch's end closes it too.
+#: Bytes of members after which a shard is closed; only a task's last one is smaller.
 SHARD_BYTES = 32 << 20
+#: Payloads whose places a task remembers; beyond it, it starts anew and may store a payload again.
+KNOWN = 200_000
 HEADER_BYTES = 33  # signature and IHDR
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -106,7 +109,7 @@ def _shard(out: fs.FileSystem, base: str, members: dict[str, bytes]) -> tuple[st
     buf, places = io.BytesIO(), {}
     with tarfile.open(fileobj=buf, mode="w", format=tarfile.USTAR_FORMAT) as tar:
         for digest, data in members.items():
-            info = tarfile.TarInfo(f"{digest[:60]}.png")
+            info = tarfile.TarInfo(f"{digest}.png")
             info.size = len(data)
             places[digest] = (buf.tell() + 512, len(data))
             tar.addfile(info, io.BytesIO(data))
@@ -126,24 +129,53 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
     ``folder`` is a URI of the shared storage that pyarrow can write (file:, hdfs:, s3: ...).
     """
 
+    names = ["doc_id", "n_bytes", "digest", "shard", "offset", "length"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, base = _open(folder)
-        for b in common.chunks(batches, SHARD_BYTES):
-            members: dict[str, bytes] = {}
-            rows = []
+        known: dict[str, tuple[str, int, int]] = {}  # of closed shards
+        members: dict[str, bytes] = {}
+        rows: list[tuple[int, int, str]] = []
+        size = 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal members, rows, size
+            if members:
+                name, places = _shard(out, base, members)
+                if len(known) > KNOWN:
+                    known.clear()
+                found = known | {d: (name, *p) for d, p in places.items()}
+            else:
+                found = known
+            cols = list(zip(*[(*r, *found[r[2]]) for r in rows]))
+            known.update((d, found[d]) for d in members)
+            members, rows, size = {}, [], 0
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+        for b in common.chunks(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 data, n = payload(text)
                 digest = hashlib.sha256(data).hexdigest()
-                if digest not in members:
+                if digest not in known and digest not in members:
                     members[digest] = to_png(data)
+                    size += len(members[digest])
                 rows.append((doc_id, n, digest))
-            name, places = _shard(out, base, members)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), pa.array([name] * len(rows), pa.string()), pa.array([places[r[2]][0] for r in rows], pa.int64()), pa.array([places[r[2]][1] for r in rows], pa.int64())],
-                ["doc_id", "n_bytes", "digest", "shard", "offset", "length"],
-            )
+            if size >= SHARD_BYTES or len(rows) >= KNOWN:
+                yield close()
+        if rows:
+            yield close()
+
+    return common.mapped(common.texts(docs), run, "doc_id long, n_bytes long, digest string, shard string, offset long, length long")
+
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, n_bytes long, digest string, shard string, offset long, length long")
+def indexed(docs: DataFrame, folder: str) -> DataFrame:
+    """``store``, with its rows written to ``folder``/index and read from there: what is stored stays findable, and no later step
+    stores it again."""
+    path = f"{folder}/index"
+    rows = store(docs, folder)
+    rows.write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 class _Ranges:
@@ -178,19 +210,20 @@ def headers(index: DataFrame, folder: str) -> DataFrame:
         ranges.close()
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in index.dtypes)
-    return index.mapInArrow(run, f"{kinds}, width int, height int, bit_depth int")
+    return common.mapped(index, run, f"{kinds}, width int, height int, bit_depth int")
 
 
 def read_back(index: DataFrame, folder: str) -> DataFrame:
     """For each index row (with ``headers``' columns), from the stored bytes: payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature, height. Checks the payload against its address."""
+    media_bytes, media_sha256, feature, height. Checks the payload against its address. One row for each index row, null ids and
+    repeats included."""
     out_fields = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height"]
 
     def run(batches):
         ranges = _Ranges(folder)
         for b in batches:
             cols = {n: b.column(b.schema.get_field_index(n)).to_pylist() for n in ("digest", "shard", "offset", "length", "height")}
-            rows, known = [], {}
+            rows, known = [], {}  # within a batch
             for digest, shard, offset, length, height in zip(*cols.values()):
                 if digest not in known:
                     media = ranges.read(shard, offset, length)
@@ -205,4 +238,4 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("n_bytes")), *done], out_fields)
         ranges.close()
 
-    return index.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int")
+    return common.mapped(index, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int")

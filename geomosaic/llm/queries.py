@@ -30,7 +30,7 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = _documents(spark, sf_dir), session.scratch(spark, "media")
-    return media.read_back(media.headers(media.store(docs, folder), folder), folder)
+    return media.read_back(media.headers(media.indexed(docs, folder), folder), folder)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
