@@ -34,7 +34,8 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.maintained(spark, _documents(spark, sf_dir), session.scratch(spark, "rollup"))
+    count = token_counts.by_vocabularies(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts.maintained(spark, _documents(spark, sf_dir), session.scratch(spark, "rollup"), count)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,17 +86,6 @@ WITH cut AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM best
 """
 
-_OP3_SQL = r"""
-WITH d AS (
-  SELECT source, lang, trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS t FROM documents
-), c AS (
-  SELECT source, lang, 'utf8_bytes_v1' AS tokenizer_version, strlen(t) AS n FROM d WHERE t <> ''
-  UNION ALL
-  SELECT source, lang, 'space_words_v1', len(string_split(t, ' ')) FROM d WHERE t <> ''
-)
-SELECT source, lang, tokenizer_version, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY ALL
-"""
-
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_media": op2_media,
@@ -109,6 +99,5 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 ORACLES = {
-    "op3_token_counts": _OP3_SQL,
     "op9_url_filter": _OP9_SQL,
 }

@@ -1,30 +1,43 @@
 """Token counts: rollups by source, language and tokenizer version, maintained by signed deltas.
 
 A batch of changes is folded to one additive row for each (source, lang, tokenizer_version) before anything is stored: an
-insert adds a document and its tokens, a delete subtracts both, a revision adds the new count less the old. A batch is
-committed by renaming its written folder to ``batches/batch_id=...``: a batch id that stands there already, or that a snapshot
-has folded in, changes nothing, so a batch can be replayed after any failure. ``totals`` sums what is committed; ``compact``
-folds all committed batches into a snapshot. Only sums are shuffled, after partial sums in each task, so a hot source or
-language costs one row a task.
+insert adds a document and its tokens, a delete subtracts both, a revision adds the new count less the old. ``totals`` sums what
+is committed; ``compact`` folds all committed batches into a snapshot. Only sums are shuffled, after partial sums in each task,
+so a hot source or language costs one row a task.
+
+Commits. A batch's sums are written to a folder of their own, ``data/<uuid>``, that nobody reads as yet. It is committed by
+creating the file ``open/<batch id>``, which holds the folder's name, without leave to overwrite: of two writers one gets an
+error and drops its folder. A snapshot is published in the same way, as ``snapshots/<number>`` with its folder and the batches
+that it folds in; then ``folded/<batch id>`` is created for each of these and its open file goes. A batch that is folded, or
+that the newest snapshot names, is never counted again, so a batch may be replayed after any failure and a compaction may end
+anywhere. What the driver holds is bounded by the batches since the last compaction. An open file without a folder's name means
+that a writer died in the act; it counts as an error until it is deleted.
 
 Null sources, languages and versions are groups of their own; null counts count as 0. Groups whose documents and tokens are
-both 0 are left out of the totals. Repeated rows count as often as they stand in the batch. Unknown operations are an error.
+both 0 are left out of the totals. Repeated rows count as often as they stand in the batch. Null and unknown operations are an
+error. Empty batches are committed as any other and change nothing.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomosaic import session
+from geomosaic.llm import byte_bpe, common, packing
 
 KEYS = ["source", "lang", "tokenizer_version"]
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
-#: Word characters' runs between ASCII white space.
-_WORD = r"[^\x20\x09-\x0D]+"
+#: Word characters' runs between ASCII white space, and that white space.
+_WORD, _SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 
 
 def utf8_bytes(text: Column) -> Column:
@@ -36,8 +49,8 @@ def space_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_WORD)).cast("long")
 
 
-#: Native tokenizer versions; any other count can be given as a column.
-VERSIONS = {"utf8_bytes_v1": utf8_bytes, "space_words_v1": space_words}
+#: Versions that need no vocabulary.
+NATIVE = {"utf8_bytes_v1": utf8_bytes, "space_words_v1": space_words}
 
 
 class Rollup:
@@ -54,84 +67,161 @@ class Rollup:
         f, p = self._at(folder)
         return sorted(s.getPath().getName() for s in f.listStatus(p)) if f.exists(p) else []
 
-    def _snapshot(self) -> tuple[str | None, set[str]]:
-        """The newest snapshot's folder and the batches that it holds."""
-        names = self._names("snapshots")
-        if not names:
-            return None, set()
-        held = self.spark.read.text(f"{self.path}/snapshots/{names[-1]}/ids")
-        return names[-1], {r[0] for r in held.collect()}
-
-    def committed(self) -> set[str]:
-        return {n.removeprefix("batch_id=") for n in self._names("batches")} | self._snapshot()[1]
-
-    def _rename(self, staged: str, *to: str) -> bool:
-        f, target = self._at(*to)
-        f.mkdirs(target.getParent())
-        if f.exists(target) or not f.rename(self._jvm.org.apache.hadoop.fs.Path(staged), target):
-            session.dropped(self.spark, staged)
-            return False
+    def _exists(self, *parts: str) -> bool:
+        f, p = self._at(*parts)
+        return f.exists(p)
+
+    def _create(self, text: str, *parts: str) -> bool:
+        """Create a file without leave to overwrite; False if it stands there."""
+        f, p = self._at(*parts)
+        f.mkdirs(p.getParent())
+        try:
+            out = f.create(p, False)
+        except Py4JJavaError as e:
+            if f.exists(p):
+                return False
+            raise e
+        out.write(bytearray(text.encode()))
+        out.close()
         return True
 
+    def _read(self, *parts: str) -> str:
+        f, p = self._at(*parts)
+        size = f.getFileStatus(p).getLen()
+        data = self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream := f.open(p)) if size else b""
+        if size:
+            stream.close()
+        if not data:
+            raise RuntimeError(f"{'/'.join(parts)} is empty: its writer died; delete it and send the batch again")
+        return bytes(data).decode()
+
+    def _drop(self, *parts: str) -> None:
+        f, p = self._at(*parts)
+        f.delete(p, True)
+
+    def _snapshot(self) -> tuple[int, dict]:
+        """Number and content of the newest snapshot: its folder, and the batches that it folded in (not those before)."""
+        names = self._names("snapshots")
+        return (int(names[-1]), json.loads(self._read("snapshots", names[-1]))) if names else (-1, {"data": None, "folded": []})
+
+    def _fresh(self, folded: list[str]) -> list[str]:
+        """Committed batches that no snapshot holds."""
+        return [n for n in self._names("open") if n not in set(folded) and not self._exists("folded", n)]
+
+    def committed(self, batch_id: str) -> bool:
+        return self._exists("open", batch_id) or self._exists("folded", batch_id)
+
+    def _staged(self, sums: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        sums.write.parquet(f"{self.path}/data/{name}")
+        return name
+
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Commit a batch: op ("insert", "delete", "revise"), the keys, n_tokens, and old_n_tokens for revisions.
 
         True if it was committed now, False if it was before.
         """
-        if not re.fullmatch(r"[\w.-]+", batch_id):
+        if not re.fullmatch(r"\w[\w.-]*", batch_id):
             raise ValueError(f"not a batch id: {batch_id!r}")
-        if batch_id in self.committed():
+        if self.committed(batch_id):
             return False
         n, old = F.coalesce("n_tokens", F.lit(0)).cast("long"), F.coalesce("old_n_tokens", F.lit(0)).cast("long")
         op = F.col("op")
         known = F.when(op == "insert", F.struct(F.lit(1).alias("d"), n.alias("t"))).when(op == "delete", F.struct(F.lit(-1).alias("d"), (-n).alias("t"))).when(op == "revise", F.struct(F.lit(0).alias("d"), (n - old).alias("t"))).otherwise(F.raise_error(F.concat(F.lit("unknown operation: "), F.coalesce(op, F.lit("null")))))
         deltas = changes.select(*KEYS, known.alias("x")).groupBy(*KEYS).agg(F.sum("x.d").cast("long").alias("n_docs"), F.sum("x.t").alias("n_tokens"))
-        staged = f"{self.path}/_staged/{batch_id}-{self._jvm.java.util.UUID.randomUUID().toString()}"
-        deltas.write.parquet(staged)
-        return self._rename(staged, "batches", f"batch_id={batch_id}")
-
-    def _sums(self) -> tuple[DataFrame, set[str]]:
-        newest, held = self._snapshot()
-        fresh = [n for n in self._names("batches") if n.removeprefix("batch_id=") not in held]
-        paths = [f"{self.path}/batches/{n}" for n in fresh] + ([f"{self.path}/snapshots/{newest}/sums"] if newest else [])
-        rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")), held | {n.removeprefix("batch_id=") for n in fresh}
+        name = self._staged(deltas)
+        if self._create(name, "open", batch_id):
+            if not self._exists("folded", batch_id):
+                return True
+            self._drop("open", batch_id)  # another writer's commit was folded in meanwhile
+        self._drop("data", name)
+        return False
+
+    def _sums(self) -> tuple[DataFrame, int, list[str]]:
+        at, newest = self._snapshot()
+        fresh = self._fresh(newest["folded"])
+        names = [self._read("open", n) for n in fresh] + ([newest["data"]] if newest["data"] else [])
+        rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/data/{n}" for n in names]) if names else self.spark.createDataFrame([], SCHEMA)
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")), at, fresh
 
     def totals(self) -> DataFrame:
         return self._sums()[0].where("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all committed batches into a new snapshot; their folders go only when it stands."""
-        sums, ids = self._sums()
-        at = len(self._names("snapshots"))
-        staged = f"{self.path}/_staged/snapshot-{self._jvm.java.util.UUID.randomUUID().toString()}"
-        sums.write.parquet(f"{staged}/sums")
-        self.spark.createDataFrame([(i,) for i in sorted(ids)], "id string").coalesce(1).write.text(f"{staged}/ids")
-        if self._rename(staged, "snapshots", f"{at:012d}"):
-            for n in self._names("batches"):
-                if n.removeprefix("batch_id=") in ids:
-                    session.dropped(self.spark, f"{self.path}/batches/{n}")
-
-
-def counted(docs: DataFrame, text: Column) -> DataFrame:
-    """source, lang, tokenizer_version, n_tokens: a row for each document and native version."""
-    per = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer_version"), f(text).alias("n_tokens")) for v, f in VERSIONS.items()]))
-    return docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), per.alias("x")).select("source", "lang", "x.*")
-
-
-def maintained(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
+        """Fold all committed batches into a new snapshot; their files go only when it stands. The snapshot before stays for who
+        still reads it, the one before that goes."""
+        self._tidy()
+        sums, at, fresh = self._sums()
+        name = self._staged(sums)
+        if not self._create(json.dumps({"data": name, "folded": fresh}), "snapshots", f"{at + 1:012d}"):
+            self._drop("data", name)  # another compaction came first
+            return
+        self._tidy()
+        if at >= 1:
+            old = json.loads(self._read("snapshots", f"{at - 1:012d}"))
+            self._drop("data", old["data"])
+
+    def _tidy(self) -> None:
+        for n in self._snapshot()[1]["folded"]:
+            self._create(".", "folded", n)
+            if self._exists("open", n):
+                name = self._read("open", n)
+                self._drop("open", n)
+                self._drop("data", name)
+
+
+def _cleaned(text: Column) -> Column:
+    """Runs of white space as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(text, _SPACE, " "))
+
+
+def natively(docs: DataFrame) -> DataFrame:
+    """source, lang, tokenizer_version, n_tokens, new_n_tokens, emptied: each document's count under each of NATIVE, the count
+    after white space is cleaned, and whether nothing is left then."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    src = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.alias("raw"), _cleaned(text).alias("clean"))
+    per = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer_version"), f(F.col("raw")).alias("n_tokens"), f(F.col("clean")).alias("new_n_tokens")) for v, f in NATIVE.items()]))
+    return src.select("source", "lang", (F.col("clean") == "").alias("emptied"), per.alias("x")).select("source", "lang", "x.*", "emptied")
+
+
+def by_vocabularies(byte_path: str, word_path: str, versions: tuple[str, str] = ("byte_bpe_multi_50k", "word_bpe_49k")) -> Callable[[DataFrame], DataFrame]:
+    """Like ``natively``, with counts of a byte-level and a word-level vocabulary's tokens, over whole texts. The word-level one
+    drops white space, so cleaning leaves its counts as they are."""
+
+    def counted(docs: DataFrame) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            small, large = packing.word_ids(word_path), byte_bpe.encoder(byte_path)
+            for b in common.chunks(batches, 2 << 20, "raw"):
+                raw, clean = b.column(2).to_pylist(), b.column(3).to_pylist()
+                changed = [i for i, (x, y) in enumerate(zip(raw, clean)) if x != y]
+                n = [len(x) // 4 for x in large.encode(raw)]
+                new = list(n)
+                if changed:
+                    for i, x in zip(changed, large.encode([clean[i] for i in changed])):
+                        new[i] = len(x) // 4
+                words = [len(x) // 4 for x, _ in small.ids(raw)]
+                emptied = [not y for y in clean]
+                for version, was, now in zip(versions, (n, words), (new, words)):
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([version] * len(raw)), pa.array(was, pa.int64()), pa.array(now, pa.int64()), pa.array(emptied, pa.bool_())], ["source", "lang", "tokenizer_version", "n_tokens", "new_n_tokens", "emptied"])
+
+        text = F.coalesce(F.col("text"), F.lit(""))
+        src = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.alias("raw"), _cleaned(text).alias("clean"))
+        return common.mapped(src, run, "source string, lang string, tokenizer_version string, n_tokens long, new_n_tokens long, emptied boolean")
+
+    return counted
+
+
+def maintained(spark: SparkSession, docs: DataFrame, path: str, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The totals after three batches over the whole table: all documents inserted; those revised whose counts change when
     runs of white space become one blank and the ends are trimmed; those deleted that are empty then. The first batch is sent
-    twice, which changes nothing."""
+    twice, which changes nothing. Texts are read and counted once; the batches take their rows from the written counts."""
     rollup = Rollup(spark, path)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    clean = F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
-    load = counted(docs, text).select(F.lit("insert").alias("op"), *KEYS, "n_tokens", F.lit(None).cast("long").alias("old_n_tokens"))
+    counts = session.written(spark, count(docs), "token-counts")
+    none = F.lit(None).cast("long").alias("old_n_tokens")
+    load = counts.select(F.lit("insert").alias("op"), *KEYS, "n_tokens", none)
     rollup.apply("load", load)
     rollup.apply("load", load)  # a replay
-    both = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer_version"), f(F.col("clean")).alias("n_tokens"), f(F.col("raw")).alias("old_n_tokens")) for v, f in VERSIONS.items()]))
-    pairs = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.alias("raw"), clean.alias("clean")).select("source", "lang", "clean", both.alias("x")).select("source", "lang", "clean", "x.*")
-    rollup.apply("revise", pairs.where("n_tokens <> old_n_tokens").select(F.lit("revise").alias("op"), *KEYS, "n_tokens", "old_n_tokens"))
-    rollup.apply("delete", pairs.where("clean = ''").select(F.lit("delete").alias("op"), *KEYS, "n_tokens", F.lit(None).cast("long").alias("old_n_tokens")))
+    rollup.apply("revise", counts.where("n_tokens <> new_n_tokens").select(F.lit("revise").alias("op"), *KEYS, F.col("new_n_tokens").alias("n_tokens"), F.col("n_tokens").alias("old_n_tokens")))
+    rollup.apply("delete", counts.where("emptied").select(F.lit("delete").alias("op"), *KEYS, F.col("new_n_tokens").alias("n_tokens"), none))
     rollup.compact()
     return rollup.totals()

@@ -129,14 +129,6 @@ def duck(d):
     return con
 
 
-@pytest.mark.parametrize("where", ["awkward", "whole"])
-def test_token_counts(spark, awkward, sf_dir, where):
-    d = awkward if where == "awkward" else sf_dir
-    cur = duck(d).execute(q.ORACLES["op3_token_counts"])
-    names = [c[0] for c in cur.description]
-    assert Counter(tuple(r[c] for c in names) for r in run(spark, "op3_token_counts", d)) == Counter(cur.fetchall())
-
-
 def repeats(texts, width=200):
     starts = Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
     out = []
