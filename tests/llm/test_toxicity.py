@@ -1,5 +1,6 @@
 """The counterfactual penalty covers beginnings and their counts."""
 
+import pyarrow.parquet as pq
 import pytest
 
 from geomosaic.llm import toxicity
@@ -29,8 +30,30 @@ def test_train_hands_over_the_words_beside_a_term(spark):
     finally:
         toxicity.fit = fit
     assert {frozenset(x) for x in seen["near"]} == {frozenset({"muslim", "muslimah"}), frozenset({"hindu", "muslimah"})}
+    assert set(seen["frames"]) == {"muslim", "hindu", None}
 
 
 @pytest.mark.parametrize("near", [None, [["muslim", "muslimah"], ["hindu", "muslimah"]]])
 def test_rows_without_words_pass(near):
     assert toxicity.fit([([0], 1, 1.0), ([], 0, 1.0)], ["muslim"], GROUPS, near=near).weights.keys() == {"muslim"}
+
+
+def test_the_penalty_closes_the_gap_on_the_corpus(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    texts = [t for t in pq.read_table(f"{d}/documents.parquet", columns=["text"])["text"].to_pylist() if t][:60]
+    off, on = (toxicity.train(spark, docs, labels, toxicity.fold(3) != 1, counterfactual=c) for c in (0.0, 1.0))
+    gaps = [toxicity.identity_gap(m, texts) for m in (off, on)]
+    assert gaps[1] < 0.01 and gaps[0] > 3 * gaps[1], gaps
+
+
+def test_neutral_mentions_of_an_attacked_group():
+    """Insults that often name one group: without the penalty its neutral mention scores high."""
+    names, rows, held = ["insult", "muslim", "hindu"], [], []
+    for words, y, n in (({"insult", "muslim"}, 1, 60), ({"muslim"}, 1, 20), ({"insult"}, 1, 5), ({"hindu"}, 0, 60), (set(), 0, 60), ({"muslim"}, 0, 5)):
+        rows += [([names.index(w) for w in sorted(words)], y, 1.0)] * n
+        held += [sorted(words)] * n
+    off, on = (toxicity.fit(rows, names, GROUPS, counterfactual=c, near=held) for c in (0.0, 1.0))
+    assert off.score("a muslim spoke") > 0.7 > on.score("a muslim spoke")
+    assert abs(on.score("a muslim spoke") - on.score("a hindu spoke")) < 0.1 < abs(off.score("a muslim spoke") - off.score("a hindu spoke"))
+    assert on.score("insult") > toxicity.THRESHOLD
