@@ -31,6 +31,8 @@ from geomosaic.operators.graph import connected_components
 BITS = 64
 #: A dealt group beyond this many rows is compared in chunks.
 GROUP_ROWS = 4096
+#: Rows of one fingerprint that a task joins at once, and fingerprints (at most) that count as hot.
+HOT_ROWS, HOT_PRINTS = 50_000, 1000
 #: Work items (a query against a word of 64 lanes) that are compared at once.
 ITEMS = 1 << 14
 
@@ -70,7 +72,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
             fp = majority([shingle_hashes(t, words, seed) for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64), pa.int64())], ["doc_id", "fp"])
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return common.mapped(common.texts(docs), run, "doc_id long, fp long")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -251,7 +253,7 @@ def _compared(spark: SparkSession, dealt: DataFrame, radius: int, narrow: bool)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouped = dealt.repartition(parts, "choice", "bits", "pair").sortWithinPartitions("choice", "bits", "pair")
-    return grouped.mapInArrow(run, "src long, dst long").distinct()
+    return common.mapped(grouped, run, "src long, dst long").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
@@ -262,14 +264,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, radius
     give empty results.
     """
     own = session.written(spark, fingerprints(docs, words, seed), "fingerprints")
-    distinct = session.written(spark, own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = session.written(spark, own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     groups = connected_components(spark, spanning_links(spark, distinct.select("fp"), radius))
     named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = session.written(spark, named, "roots")
     least = session.written(spark, named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     found = session.written(spark, named.join(least, "root").select("fp", "component_id"), "components")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return own.join(found, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return _spread(spark, own, distinct, found).select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def _spread(spark: SparkSession, own: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """``own`` joined with ``found`` by fp, a hot fingerprint's rows (the empty text's, a popular copy's) dealt over several tasks.
+
+    Those with more than a thousandth of all rows, and HOT_ROWS at least, are hot, so there are HOT_PRINTS at most to broadcast.
+    """
+    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    bound = max(HOT_ROWS, -(-total // HOT_PRINTS))
+    cuts = distinct.where(F.col("n") > bound).select("fp", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("cuts"))
+    many = F.coalesce("cuts", F.lit(1))
+    rows = own.join(F.broadcast(cuts), "fp", "left").withColumn("salt", F.pmod(F.xxhash64(F.coalesce("doc_id", (F.rand(7) * 1e9).cast("long"))), many).cast("int")).drop("cuts")
+    each = found.join(F.broadcast(cuts), "fp", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("cuts")
+    return rows.join(each, ["fp", "salt"])
 
 
 # Near copies of a given Jaccard similarity of the shingle sets, decided exactly. The wide fingerprints only find most links
@@ -305,7 +321,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             cells = [b.column(0), b.column(2), node, [len(g) for g in groups], [w.tobytes() for w in wide], raw]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema)], schema=schema)
 
-    return common.texts(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, node long, n int, fp binary, hashes binary")
+    return common.mapped(common.texts(docs).withColumn("th", F.xxhash64("text")), run, "doc_id long, th long, node long, n int, fp binary, hashes binary")
 
 
 def prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -338,7 +354,7 @@ def alike(spark: SparkSession, pairs: DataFrame, sets: DataFrame, similarity: fl
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["src", "dst"]).filter(pa.array(yes, pa.bool_()))
 
     joined = pairs.select("src", "dst").join(one, "src").join(two, "dst").select("src", "dst", "of_src", "of_dst")
-    return joined.mapInArrow(run, "src long, dst long")
+    return common.mapped(joined, run, "src long, dst long")
 
 
 def _common(sets: DataFrame, rows: int) -> np.ndarray:
@@ -350,7 +366,7 @@ def _common(sets: DataFrame, rows: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i8"))], ["hash"])
 
     some = sets.where(F.pmod("node", F.lit(max(1, rows // SAMPLE))) == 0).dropDuplicates(["node"]).select("hashes")
-    found = some.mapInArrow(run, "hash long").groupBy("hash").count().where(F.col("count") >= COMMON).select("hash")
+    found = common.mapped(some, run, "hash long").groupBy("hash").count().where(F.col("count") >= COMMON).select("hash")
     return np.sort(np.array([r[0] for r in found.collect()], np.int64).view(np.uint64))
 
 
@@ -433,8 +449,8 @@ def candidates(spark: SparkSession, sets: DataFrame, similarity: float) -> DataF
         if held:
             yield from done(held)
 
-    dealt = sets.select("node", "n", "root", "hashes").mapInArrow(deal, "slice long, tok binary, node binary, root binary, n binary")
-    found = dealt.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(match, "src long, dst long, n long, m long, shared long")
+    dealt = common.mapped(sets.select("node", "n", "root", "hashes"), deal, "slice long, tok binary, node binary, root binary, n binary")
+    found = common.mapped(dealt.repartition(parts, "slice").sortWithinPartitions("slice"), match, "src long, dst long, n long, m long, shared long")
     found = found.groupBy("src", "dst").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("shared").alias("shared"))
     rest = lambda c: F.ceil(similarity * F.col(c) - F.lit(1e-9)) - 1  # noqa: E731  elements behind the prefix
     need = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("m")) - F.lit(1e-9))

@@ -259,6 +259,18 @@ def test_simhash(spark, awkward, sf_dir, where):
     assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in run(spark, "op10_simhash", d)) == want
 
 
+def test_hot_fingerprints_are_spread(spark, monkeypatch, tmp_path):
+    from geomosaic.llm import simhash as module
+
+    monkeypatch.setattr(module, "HOT_ROWS", 20)
+    rows = [(i, "the same words in every one of these texts") for i in range(150)] + [(None, "")] * 40 + [(i, f"other {i} words stand here") for i in range(200, 230)]
+    put(str(tmp_path), rows)
+    got = run(spark, "op10_simhash", str(tmp_path))
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    assert {r["component_id"] for r in got if r["doc_id"] is not None and r["doc_id"] < 150} == {0}
+    assert {r["component_id"] for r in got if r["doc_id"] is None} == {None}
+
+
 def test_null_ids_are_no_reason_to_fail(spark, tmp_path):
     put(str(tmp_path), [(None, "one two three four five"), (None, None), (3, "one two three four five"), (4, "other words stand here now")])
     for name in q.QUERIES:
