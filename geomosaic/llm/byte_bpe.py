@@ -233,7 +233,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
         for ids, texts in _grouped(batches):
             yield pa.RecordBatch.from_arrays([ids, pa.array(e.encode(texts), pa.binary())], ["doc_id", "ids"])
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, ids binary")
+    return common.mapped(common.texts(docs), run, "doc_id long, ids binary")
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -248,4 +248,4 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.mapped(common.texts(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

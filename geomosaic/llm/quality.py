@@ -71,7 +71,7 @@ def vectors(docs: DataFrame) -> DataFrame:
         for b in common.chunks(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, x array<double>")
+    return common.mapped(common.texts(docs), run, "doc_id long, x array<double>")
 
 
 @dataclass
@@ -118,7 +118,7 @@ def _summed(rows: DataFrame) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
 
-    got = [np.frombuffer(r[0]) for r in rows.repartition(4).mapInArrow(add, "s binary").collect()]
+    got = [np.frombuffer(r[0]) for r in common.mapped(rows.repartition(4), add, "s binary").collect()]
     return sum(got) if got else np.zeros(0)
 
 
@@ -149,7 +149,7 @@ def train(spark: SparkSession, stats: DataFrame, labels: DataFrame, learn: Colum
                 s += np.concatenate([x.sum(0), (x * x).sum(0), [len(x), y.sum()]])
         yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary())], ["s"])
 
-    m = _summed(rows.mapInArrow(moments, "s binary"))
+    m = _summed(common.mapped(rows, moments, "s binary"))
     n, pos = (float(m[-2]), float(m[-1])) if len(m) else (0.0, 0.0)
     if not 0 < pos < n:
         share = (pos + 0.5) / (n + 1)
@@ -170,7 +170,7 @@ def train(spark: SparkSession, stats: DataFrame, labels: DataFrame, learn: Colum
                     s[i, :, k] += own.T @ y[f == i]
         yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary())], ["s"])
 
-    sums = _summed(rows.mapInArrow(equations, "s binary")).reshape(FOLDS, k, k + 1)
+    sums = _summed(common.mapped(rows, equations, "s binary")).reshape(FOLDS, k, k + 1)
     damp = np.diag([*[RIDGE] * DIMENSION, 1e-6])
     solve = lambda s: np.linalg.solve(s[:, :k] + damp, s[:, k])
     whole = sums.sum(0)
@@ -186,7 +186,7 @@ def train(spark: SparkSession, stats: DataFrame, labels: DataFrame, learn: Colum
                 s += np.stack([np.bincount(at, minlength=BINS), np.bincount(at, y, BINS)])
         yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary())], ["s"])
 
-    total, positive = _summed(rows.mapInArrow(binned, "s binary")).reshape(2, BINS)
+    total, positive = _summed(common.mapped(rows, binned, "s binary")).reshape(2, BINS)
     held = total > 0
     centre = LOW + (np.arange(BINS) + 0.5) * (HIGH - LOW) / BINS
     return Model(features, solve(whole), centre[held], pool_adjacent(total[held], positive[held]))
@@ -200,11 +200,11 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(b.column(1))), pa.float64())], ["doc_id", "score"])
 
-    return stats.mapInArrow(run, "doc_id long, score double")
+    return common.mapped(stats, run, "doc_id long, score double")
 
 
 def kept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score at least ``least``, as they are. No shuffle."""
+    """The rows of ``docs`` that score at least ``least``, as they are, repeated ones and null ids included. No shuffle."""
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,12 +212,13 @@ def kept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             x = np.stack([statistics(t or "") for t in b.column(at).to_pylist()])
             yield b.filter(pa.array(model.score(x) >= least, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.mapped(docs, run, docs.schema)
 
 
 def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: learns from the rows of folds 0, 1 and 3 of 4 only, judges every row. Null texts
-    count as empty."""
+    count as empty, whose statistics are zeros; very long texts are read whole; repeated rows and null ids are judged each; an
+    empty table gives no rows. Other columns are left out."""
     stats = session.written(spark, vectors(docs), "statistics")
     model = train(spark, stats, labels, fold(4) != 2)
     return scored(stats, model).select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -441,7 +441,8 @@ def _whole(text: bytes, spans: list[tuple[int, int]]) -> str:
 
 def cleaned(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with repeated strings cut from ``text`` (whole characters only) and ``n_chars``, if there is such a
-    column, counted anew. A null text stays null. Other columns stay as they are."""
+    column, counted anew. A null text stays null; repeated rows are copies of each other, so both lose what they share. Other
+    columns stay as they are."""
     found = found_runs(spark, _keyed(docs))
     key = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("th"))
     schema = docs.schema
