@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 import zipfile
@@ -32,12 +31,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where it is unset (tests) a local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Unset, it is a local folder where driver and executors are one
+    process (tests), and an error on a cluster, whose machines would each write to a folder of their own."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir", None)
     if not d:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = held.get() if held.isDefined() else None
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         d = "file://" + tempfile.mkdtemp(prefix="geomosaic-shared-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
@@ -49,18 +52,28 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation."""
+    """Cut lineage: write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation. The files
+    go when the application ends, or by ``discard``."""
     path = scratch(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _filesystem(spark, path)[0].deleteOnExit(_filesystem(spark, path)[1])
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder through Hadoop's file system API."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete what ``written`` wrote for these; nothing may read them later."""
+    for df in frames:
+        dropped(spark, df.written_to)
+
 
+def _filesystem(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
-def local_rm(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder through Hadoop's file system API."""
+    fs, p = _filesystem(spark, path)
+    fs.delete(p, True)

@@ -162,3 +162,70 @@ def test_statistics_of_no_rows(spark):
 def test_stride_sample_keeps_every_kth(spark):
     pts = spark.range(100).select(F.col("id").alias("ord"))
     assert [r["ord"] for r in points.stride_sample(pts, 10).orderBy("ord").collect()] == list(range(0, 100, 10))
+
+
+def sequential_pivots(n, edges):
+    near = {i: set() for i in range(n)}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    left, out = set(near), {}
+    for pivot in range(n):
+        if pivot in left:
+            for i in {pivot, *(near[pivot] & left)}:
+                out[i] = pivot
+                left.discard(i)
+    return out
+
+
+def test_pivots_of_long_chains(spark):
+    n = 1000
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "src long, dst long")
+    nodes = spark.range(n).select(F.col("id").alias("node"))
+    want = sequential_pivots(n, [(i, i + 1) for i in range(n - 1)])
+    assert {r["node"]: r["pivot"] for r in graph.pivot_clusters(spark, nodes, edges).collect()} == want
+
+
+@pytest.mark.parametrize("task_edges", [0, 6, 40])
+def test_rounds_over_large_components_and_walks_over_small_ones_agree(spark, task_edges):
+    r = random.Random(task_edges)
+    pairs = [(r.randrange(40), r.randrange(40)) for _ in range(70)] + [(50 + i, 51 + i) for i in range(12)] + [(70, 71), (71, 72), (70, 70)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    nodes = spark.range(80).select(F.col("id").alias("node"))
+    got = {r["node"]: r["pivot"] for r in graph.pivot_clusters(spark, nodes, edges, task_edges).collect()}
+    assert got == sequential_pivots(80, [p for p in pairs if p[0] != p[1]])
+
+
+def test_components_by_rounds_equal_those_of_one_task(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CHUNK_EDGES", 16)
+    r = random.Random(3)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(90)] + [(None, 3), (7, 7)]
+    edges = spark.createDataFrame(pairs, "src long, dst long").repartition(4)
+    by_rounds, at_once = ({r["node"]: r["component"] for r in graph.connected_components(spark, edges, n).collect()} for n in (0, 10_000))
+    assert by_rounds == at_once
+    want = groups_of(500, [p for p in pairs if p[0] is not None])
+    assert by_rounds == {i: want[i] for p in pairs if p[0] is not None and p[0] != p[1] for i in p}
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from geomosaic import session
+
+    class Context:
+        master = "spark://host:7077"
+        _conf = {}
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))})
+
+    class Session:
+        conf = {}
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session)
+    kept = session.written(spark, spark.range(3), "kept")
+    session.discard(spark, kept)
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.written_to)
