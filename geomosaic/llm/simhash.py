@@ -291,19 +291,61 @@ def _spread(spark: SparkSession, own: DataFrame, distinct: DataFrame, found: Dat
 # Near copies of a given Jaccard similarity of the shingle sets, decided exactly. The wide fingerprints only find most links
 # early, so that large groups need no comparison of all their pairs.
 
-#: Words of 64 bits in a wide fingerprint, and bits of a block; fingerprints that agree on a block are compared.
-WIDE, BLOCK_BITS = 8, 16
+#: Words of 64 bits in a wide fingerprint, and of those how many are compared for early links.
+WIDE, NARROW = 8, 4
+#: Sets of fewer elements pass the fingerprints' filter unseen, others within so many standard deviations.
+SMALL, SIGMAS = 64, 7.0
 #: Documents (about) that are looked at for common shingles, and how many of them must hold one.
 SAMPLE, COMMON = 4000, 4
 #: Pairs that are enumerated at once.
 PAIRS = 1 << 20
 
 
-def wide_radius(similarity: float, bits: int = BITS * WIDE) -> int:
+def wide_radius(similarity: float, bits: int = BITS * WIDE, sigmas: float = 1.0) -> int:
     """Differing bits to allow for a Jaccard similarity: texts of equal size have cosine 2 s / (1 + s), each bit differs with
-    the angle's share of a half turn; one standard deviation is added."""
+    the angle's share of a half turn; ``sigmas`` standard deviations are added."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + (bits * p * (1 - p)) ** 0.5)
+    return int(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5)
+
+
+def block_bytes(n: int) -> int:
+    """Bytes of a block: more as the number of fingerprints grows, so that few agree on one by chance."""
+    return min(4, max(2, -(-int(np.log2(max(n, 2)) + 4) // 8)))
+
+
+def distinct_shingles(texts: list[str], words: int) -> list[np.ndarray]:
+    """For each text the distinct hashes, ascending, of its runs of ``words`` words (fewer words: the whole sequence; none: no
+    hash), A-Z lower-cased, words split at ASCII white space. All texts at once: a word's hash is a sum over its bytes, a run's a
+    sum over its words."""
+    raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+    data = np.frombuffer(b"".join([b" " + r for r in raw] + [b" "]), np.uint8)
+    solid = (data != 32) & ((data < 9) | (data > 13))
+    begin, end = (np.flatnonzero(x) for x in (solid[1:] & ~solid[:-1], solid[:-1] & ~solid[1:]))
+    begin, end = begin + 1, end + 1
+    if not len(begin):
+        return [np.zeros(0, np.uint64) for _ in texts]
+    power = np.full(int((end - begin).max()), 0xD6E8FEB86659FD93, np.uint64)
+    power[0] = 1
+    size = end - begin
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    value = (data[solid].astype(np.uint64) + np.uint64(1)) * np.cumprod(power)[at]
+    h = common.mix(np.add.reduceat(value, np.cumsum(size) - size))
+    edge = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    first = np.searchsorted(begin, edge)  # each text's first word
+    count = np.diff(first)
+    padded = np.concatenate([h, np.zeros(words, np.uint64)])
+    runs = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
+    owner = np.repeat(np.arange(len(texts)), runs)
+    i = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs) + first[owner]
+    s = np.zeros(len(i), np.uint64)
+    for j in range(words):
+        factor = np.uint64((2 * j + 1) * int(common.GOLD) % (1 << 64))
+        s += np.where(j < count[owner], common.mix(padded[i + j] + factor) * factor, np.uint64(0))
+    s = common.mix(s)
+    by = np.lexsort((s, owner))
+    s, owner = s[by], owner[by]
+    new = np.concatenate([[True], (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])])
+    return np.split(s[new], np.searchsorted(owner[new], np.arange(1, len(texts))))
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -312,8 +354,8 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("fp", pa.binary()), ("hashes", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.chunks(batches, 2 << 20):
-            groups = [np.unique(shingle_hashes(t, words, 42)) for t in b.column(1).to_pylist()]
+        for b in common.chunks(batches, 1 << 20):
+            groups = distinct_shingles(b.column(1).to_pylist(), words)
             cols = [majority([common.mix(g + np.uint64((i + 1) * int(common.GOLD) % (1 << 64))) for g in groups]) for i in range(WIDE)]
             wide = np.stack(cols, axis=1).astype("<u8")
             raw = [g.astype("<u8").tobytes() for g in groups]
@@ -357,6 +399,24 @@ def alike(spark: SparkSession, pairs: DataFrame, sets: DataFrame, similarity: fl
     return common.mapped(joined, run, "src long, dst long")
 
 
+def in_reach(spark: SparkSession, pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The src, dst of ``pairs`` whose wide fingerprints (node, n, fp) lie within SIGMAS standard deviations of what the similarity
+    makes likely, so that few sets have to travel. A pair of the similarity is farther apart with a chance of about 1e-9, as
+    rare as a collision among its elements' hashes; sets below SMALL elements always pass."""
+    radius = wide_radius(similarity, sigmas=SIGMAS)
+    one, two = (prints.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}")) for x in ("src", "dst"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u8").reshape(-1, WIDE) for i in (3, 4))
+            far = np.bitwise_count(x ^ y).sum(axis=1) > radius
+            far &= b.column(2).to_numpy(zero_copy_only=False) >= SMALL
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["src", "dst"]).filter(pa.array(~far))
+
+    joined = pairs.select("src", "dst").join(one, "src").join(two, "dst").select("src", "dst", F.least("n_src", "n_dst"), "fp_src", "fp_dst")
+    return common.mapped(joined, run, "src long, dst long")
+
+
 def _common(sets: DataFrame, rows: int) -> np.ndarray:
     """Hashes of shingles that many documents of a sample hold, ascending. They only change the order of elements, never the
     result."""
@@ -425,9 +485,16 @@ def candidates(spark: SparkSession, sets: DataFrame, similarity: float) -> DataF
             by = np.argsort(to, kind="stable")
             tok, own, to = tok[by], own[by], to[by]
             node, root = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
-            begin = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-            packed = [[x[p:q].tobytes() for p, q in zip(begin, np.append(begin[1:], len(to)))] for x in (tok, node[own], root[own], n[own].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(to[begin], pa.int64()), *[pa.array(x, pa.binary()) for x in packed]], ["slice", "tok", "node", "root", "n"])
+            alone = (node == root)[own]
+            for some in (alone, ~alone):  # a root that is the node itself stays at home
+                if not some.any():
+                    continue
+                at, who = to[some], own[some]
+                begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])).tolist()
+                cut = list(zip(begin, [*begin[1:], len(at)]))
+                cols = [[x[p:q].tobytes() for p, q in cut] for x in (tok[some], node[who], n[who].astype(np.int32))]
+                roots = [b""] * len(cut) if some is alone else [root[who[p:q]].tobytes() for p, q in cut]
+                yield pa.RecordBatch.from_arrays([pa.array(at[begin], pa.int64()), *[pa.array(x, pa.binary()) for x in (*cols[:2], roots, cols[2])]], ["slice", "tok", "node", "root", "n"])
 
     def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
@@ -445,6 +512,7 @@ def candidates(spark: SparkSession, sets: DataFrame, similarity: float) -> DataF
                     yield from done(held)
                     held = []
                 current = key
+                row[2] = row[2] or row[1]
                 held.append(row)
         if held:
             yield from done(held)
@@ -462,23 +530,26 @@ def copies(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: flo
     stays of its group of near copies: the smallest, null ids last) for every row; and the doc_id, th that stand in several rows.
 
     Groups are the components of all links of at least the similarity. Texts without words are copies of each other. Wide
-    fingerprints that agree on any block of BLOCK_BITS bits give links early; every link is decided by the sets' elements, and
-    the prefix filter brings every pair that is not connected yet.
+    fingerprints that agree on any block of bits give links early; every link is decided by the sets' elements, and the prefix
+    filter brings every pair that is not connected yet.
     """
     sets = session.written(spark, shingle_sets(docs, words), "sets")
     full = sets.where("n > 0")
-    per = BLOCK_BITS // 8
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(BITS * WIDE // BLOCK_BITS - 1)), lambda i: F.conv(F.hex(F.substring(F.col("fp"), i * per + 1, F.lit(per))), 16, 10).cast("long"))
-    dealt = session.written(spark, full.select("node", "fp").dropDuplicates(["node"]), "distinct").select("node", "fp", F.posexplode(blocks).alias("choice", "bits"))
-    near = session.written(spark, _compared(spark, dealt, wide_radius(similarity), narrow=False), "near")
+    distinct = session.written(spark, full.select("node", "n", "fp").dropDuplicates(["node"]), "distinct")
+    per = block_bytes(distinct.count())
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(8 * NARROW // per - 1)), lambda i: F.conv(F.hex(F.substring(F.col("fp"), i * per + 1, F.lit(per))), 16, 10).cast("long"))
+    dealt = distinct.select("node", "fp", F.posexplode(blocks).alias("choice", "bits")).withColumn("fp", F.substring("fp", 1, 8 * NARROW))
+    near = session.written(spark, _compared(spark, dealt, wide_radius(similarity, BITS * NARROW), narrow=False), "near")
     early = session.written(spark, alike(spark, near, full, similarity), "early")
     roots = session.written(spark, connected_components(spark, early), "roots")
     rooted = full.join(roots, "node", "left").select("node", "n", F.coalesce("component", "node").alias("root"), "hashes")
     others = session.written(spark, candidates(spark, rooted, similarity), "candidates")
+    others = session.written(spark, in_reach(spark, others, distinct, similarity), "in-reach")
     late = session.written(spark, alike(spark, others, full, similarity), "late")
     groups = connected_components(spark, early.union(late))
     own = sets.select("doc_id", "th", "node").join(groups, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("root"))
     own = session.written(spark, own, "own")
+    session.discard(spark, sets, distinct, near, early, roots, others, late)
     named = own.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("keep"))
     named = named.select("root", F.struct("keep.doc_id", "keep.th").alias("keep"))
     return own.join(named, "root").select("doc_id", "th", "keep"), own.groupBy("doc_id", "th").count().where(F.col("count") > 1).select("doc_id", "th")

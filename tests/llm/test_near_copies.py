@@ -44,3 +44,30 @@ def test_repeated_and_missing_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r["doc_id"], r["text"]) for r in simhash.deduplicated(spark, docs).collect()), key=str)
     assert got == sorted([(1, a), (2, b), (3, c), (3, d), (None, "only here and without an id"), (7, "")], key=str)
+
+
+def test_distinct_shingles_tell_apart_what_words_tell_apart():
+    rng = random.Random(3)
+    texts = ["", " \t", "a", "A", "a b", "b a", "a b c d e", "a b c d e f", "\n a  b\tc d E f ", "é É x", "a" * 3000, "ab c", "a bc"]
+    texts += [" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 40))) for _ in range(40)]
+    got = simhash.distinct_shingles(texts, 5)
+    ascii_lower = lambda t: t.translate({c: c + 32 for c in range(65, 91)})
+    words = [ascii_lower(t).split() for t in texts]
+    want = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    for g, w in zip(got, want):
+        assert len(g) == len(w) and sorted(g.tolist()) == g.tolist()
+    for a in range(len(texts)):
+        for b in range(a):
+            assert len(set(got[a].tolist()) & set(got[b].tolist())) == len(want[a] & want[b])
+    assert [g.tolist() for t in texts for g in simhash.distinct_shingles([t], 5)] == [g.tolist() for g in got]
+
+
+def test_the_filter_lets_pairs_of_the_similarity_pass(spark):
+    rng = random.Random(4)
+    pairs = [pair(rng, size, shared) for size, shared in [(90, 80), (180, 160), (270, 240), (1800, 1600)] for _ in range(50)]
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    sets = simhash.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"), 5).cache()
+    node = {r["doc_id"]: r["node"] for r in sets.collect()}
+    both = spark.createDataFrame([(node[2 * i], node[2 * j + 1]) for i in range(200) for j in (i, (i + 7) % 200)], "src long, dst long")
+    left = {(r["src"], r["dst"]) for r in simhash.in_reach(spark, both, sets.select("node", "n", "fp"), 0.8).collect()}
+    assert left == {(node[2 * i], node[2 * i + 1]) for i in range(200)}
