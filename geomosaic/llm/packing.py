@@ -39,7 +39,7 @@ LEAST_POWER = 512
 #: Ids that are packed at once.
 BLOCK = 1 << 20
 #: Entries of each of a worker's two caches (about 200 bytes each); beyond it a cache starts anew.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 120_000
 
 #: Latin words with what may follow them. Their letters are precomposed, so that normalisation only lower-cases them.
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
@@ -275,7 +275,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 2,
             held, total = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*cols[:5], seq, cols[6])], names)
 
-        for b in common.chunks(batches, 2 << 20):
+        for b in common.chunks(batches, 1 << 20):
             for doc_id, (ids, ends) in zip(b.column(0).to_pylist(), words.ids(b.column(1).to_pylist())):
                 held.append((doc_id, ids + tail, ends))
                 total += len(ids) // 4 + 1
