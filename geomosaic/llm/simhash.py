@@ -15,6 +15,7 @@ into chunks, and each pair of chunks becomes a group of its own, so no task hold
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -295,8 +296,8 @@ def _spread(spark: SparkSession, own: DataFrame, distinct: DataFrame, found: Dat
 WIDE, NARROW = 8, 4
 #: Sets of fewer elements pass the fingerprints' filter unseen, others within so many standard deviations.
 SMALL, SIGMAS = 64, 7.0
-#: Documents (about) that are looked at for common shingles, and how many of them must hold one.
-SAMPLE, COMMON = 4000, 4
+#: Of how many sets one is looked at for common shingles, and how many of these must hold one.
+SHARE, COMMON = 12, 4
 #: Pairs that are enumerated at once.
 PAIRS = 1 << 20
 
@@ -308,9 +309,20 @@ def wide_radius(similarity: float, bits: int = BITS * WIDE, sigmas: float = 1.0)
     return int(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5)
 
 
-def block_bytes(n: int) -> int:
-    """Bytes of a block: more as the number of fingerprints grows, so that few agree on one by chance."""
-    return min(4, max(2, -(-int(np.log2(max(n, 2)) + 4) // 8)))
+def block_digits(n: int) -> int:
+    """Hexadecimal digits of a block: more as the number of fingerprints grows, so that few agree on one by chance."""
+    return min(8, max(4, -(-int(np.log2(max(n, 2)) + 2) // 4)))
+
+
+def packed48(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash; the order stays."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked48(data) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def distinct_shingles(texts: list[str], words: int) -> list[np.ndarray]:
@@ -344,13 +356,14 @@ def distinct_shingles(texts: list[str], words: int) -> list[np.ndarray]:
     s = common.mix(s)
     by = np.lexsort((s, owner))
     s, owner = s[by], owner[by]
+    s &= ~np.uint64(0xFFFF)  # 48 bits travel
     new = np.concatenate([[True], (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])])
     return np.split(s[new], np.searchsorted(owner[new], np.arange(1, len(texts))))
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, th (the text's hash), node (a hash of the set), n (its size), fp (binary, WIDE words: each distinct shingle's hash is stretched to
-    WIDE words, each bit is a majority vote), hashes (binary: the distinct shingles' hashes, ascending)."""
+    WIDE words, each bit is a majority vote), hashes (binary: the distinct shingles' hashes of 48 bits, ascending)."""
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("fp", pa.binary()), ("hashes", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +371,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             groups = distinct_shingles(b.column(1).to_pylist(), words)
             cols = [majority([common.mix(g + np.uint64((i + 1) * int(common.GOLD) % (1 << 64))) for g in groups]) for i in range(WIDE)]
             wide = np.stack(cols, axis=1).astype("<u8")
-            raw = [g.astype("<u8").tobytes() for g in groups]
+            raw = [packed48(g) for g in groups]
             node = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
             cells = [b.column(0), b.column(2), node, [len(g) for g in groups], [w.tobytes() for w in wide], raw]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema)], schema=schema)
@@ -386,7 +399,7 @@ def alike(spark: SparkSession, pairs: DataFrame, sets: DataFrame, similarity: fl
         for b in batches:
             yes = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                x, y = (unpacked48(v.as_buffer()) for v in (x, y))
                 if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
                     yes.append(False)
                     continue
@@ -417,22 +430,58 @@ def in_reach(spark: SparkSession, pairs: DataFrame, prints: DataFrame, similarit
     return common.mapped(joined, run, "src long, dst long")
 
 
-def _common(sets: DataFrame, rows: int) -> np.ndarray:
-    """Hashes of shingles that many documents of a sample hold, ascending. They only change the order of elements, never the
-    result."""
+def _common(sets: DataFrame, total: int) -> np.ndarray:
+    """A bitmap of hashed shingles that many documents hold: those that COMMON sets of every SHARE-th have. It only changes the
+    order of elements, never the result, so its size may be bounded: elements that fall on a set bit by chance come later."""
+    bits = 1 << min(27, max(20, int(total // 64).bit_length()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches, 2 << 20, "hashes"):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i8"))], ["hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(unpacked48(b"".join(b.column(0).to_pylist())).view(np.int64))], ["hash"])
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            at = _bit(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)
+            np.bitwise_or.at(own, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["bits"])
 
-    some = sets.where(F.pmod("node", F.lit(max(1, rows // SAMPLE))) == 0).dropDuplicates(["node"]).select("hashes")
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                own |= np.frombuffer(zlib.decompress(x), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["bits"])
+
+    some = sets.where(F.pmod("node", F.lit(SHARE)) == 0).dropDuplicates(["node"]).select("hashes")
     found = common.mapped(some, run, "hash long").groupBy("hash").count().where(F.col("count") >= COMMON).select("hash")
-    return np.sort(np.array([r[0] for r in found.collect()], np.int64).view(np.uint64))
+    marked = common.mapped(common.mapped(found, mark, "bits binary").repartition(1), join, "bits binary")  # one bitmap a task
+    out = np.zeros(bits // 8, np.uint8)
+    for r in marked.collect():
+        out |= np.frombuffer(zlib.decompress(r[0]), np.uint8)
+    return out
 
 
-def _pairs(tok: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
+def _bit(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (common.mix(hashes + common.GOLD) % np.uint64(bits)).astype(np.int64)
+
+
+def _pairs(tok: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, similarity: float, single: bool) -> Iterator[tuple[np.ndarray, ...]]:
     """src, dst, sizes of both, and how many elements ``tok`` they have in common, for nodes of different roots whose sizes
-    allow the similarity."""
+    allow the similarity. ``single``: under every fourth element one node of each root (another for each element), paired with
+    the next root's in an order that changes from element to element; so no more pairs than elements."""
+    if single:
+        some = tok >> np.uint64(62) == 0
+        tok, node, root, n = tok[some], node[some], root[some], n[some]
+        by = np.lexsort((common.mix(node.view(np.uint64) ^ tok), common.mix(root.view(np.uint64) ^ common.mix(tok)), tok))
+        tok, node, root, n = tok[by], node[by], root[by], n[by]
+        first = np.concatenate([[True], (tok[1:] != tok[:-1]) | (root[1:] != root[:-1])]) if len(tok) else np.zeros(0, bool)
+        tok, node, n = tok[first], node[first], n[first]
+        i = np.flatnonzero(tok[1:] == tok[:-1])
+        i = i[np.minimum(n[i], n[i + 1]) >= similarity * np.maximum(n[i], n[i + 1]) - 1e-9]
+        yield np.minimum(node[i], node[i + 1]), np.maximum(node[i], node[i + 1]), n[i], n[i + 1], np.ones(len(i), np.int64)
+        return
     by = np.lexsort((node, root, tok))
     tok, node, root, n = tok[by], node[by], root[by], n[by]
     fresh = np.concatenate([[True], (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])])  # exact copies came several times
@@ -456,27 +505,25 @@ def _pairs(tok: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, s
         yield node[i][edge], node[j][edge], n[i][edge], n[j][edge], np.diff(np.append(edge, len(i)))
 
 
-def candidates(spark: SparkSession, sets: DataFrame, similarity: float) -> DataFrame:
+def candidates(spark: SparkSession, sets: DataFrame, similarity: float, often: np.ndarray, total: int, single: bool = False) -> DataFrame:
     """src, dst: every pair of nodes with different ``root`` that can have the similarity (and others that share enough).
+    ``single``: only some pairs of one node of each root, whatever they share; links among these join groups, so that fewer
+    pairs are left for the whole enumeration.
 
     Prefix filter: in one order of all shingles (common ones last, else by hash), sets of the similarity share an element of
     their prefixes. Prefix elements are dealt to slices by their hash, packed into arrays. An element shared beyond the shorter
     prefix stands among the rest of that set, so overlap <= shared prefix elements + the larger rest: pairs below fall out.
     """
-    rows, total = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    often = _common(sets, rows)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = max(4 * parts, int(total * (1 - similarity)) >> 18)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches, 8 << 20, "hashes"):
             n = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            h = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u8")
+            h = unpacked48(b"".join(b.column(3).to_pylist()))
             own = np.repeat(np.arange(len(n)), n)
-            if len(often):
-                late = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h
-            else:
-                late = np.zeros(len(h), bool)
+            bit = _bit(h, 8 * len(often))
+            late = (often[bit >> 3] >> (bit & 7)) & 1
             by = np.lexsort((h, late, own))  # own ascends already
             place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             first = by[place < np.repeat(prefix_size(n, similarity), n)]
@@ -502,7 +549,7 @@ def candidates(spark: SparkSession, sets: DataFrame, similarity: float) -> DataF
             _, where, often = np.unique(tok, return_inverse=True, return_counts=True)
             some = often[where] > 1
             if some.any():
-                for found in _pairs(tok[some], node[some], root[some], n[some].astype(np.int64), similarity):
+                for found in _pairs(tok[some], node[some], root[some], n[some].astype(np.int64), similarity, single):
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["src", "dst", "n", "m", "shared"])
 
         current, held = None, []
@@ -519,6 +566,8 @@ def candidates(spark: SparkSession, sets: DataFrame, similarity: float) -> DataF
 
     dealt = common.mapped(sets.select("node", "n", "root", "hashes"), deal, "slice long, tok binary, node binary, root binary, n binary")
     found = common.mapped(dealt.repartition(parts, "slice").sortWithinPartitions("slice"), match, "src long, dst long, n long, m long, shared long")
+    if single:
+        return found.select("src", "dst").distinct()
     found = found.groupBy("src", "dst").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("shared").alias("shared"))
     rest = lambda c: F.ceil(similarity * F.col(c) - F.lit(1e-9)) - 1  # noqa: E731  elements behind the prefix
     need = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("m")) - F.lit(1e-9))
@@ -530,26 +579,31 @@ def copies(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: flo
     stays of its group of near copies: the smallest, null ids last) for every row; and the doc_id, th that stand in several rows.
 
     Groups are the components of all links of at least the similarity. Texts without words are copies of each other. Wide
-    fingerprints that agree on any block of bits give links early; every link is decided by the sets' elements, and the prefix
-    filter brings every pair that is not connected yet.
+    fingerprints that agree on any block of bits give links early, then pairs of one member of each group do; every link is
+    decided by the sets' elements, and the prefix filter brings every pair that is not connected yet.
     """
     sets = session.written(spark, shingle_sets(docs, words), "sets")
     full = sets.where("n > 0")
     distinct = session.written(spark, full.select("node", "n", "fp").dropDuplicates(["node"]), "distinct")
-    per = block_bytes(distinct.count())
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(8 * NARROW // per - 1)), lambda i: F.conv(F.hex(F.substring(F.col("fp"), i * per + 1, F.lit(per))), 16, 10).cast("long"))
+    per = block_digits(distinct.count())
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(16 * WIDE // per - 1)), lambda i: F.conv(F.substring(F.hex("fp"), i * per + 1, F.lit(per)), 16, 10).cast("long"))
     dealt = distinct.select("node", "fp", F.posexplode(blocks).alias("choice", "bits")).withColumn("fp", F.substring("fp", 1, 8 * NARROW))
     near = session.written(spark, _compared(spark, dealt, wide_radius(similarity, BITS * NARROW), narrow=False), "near")
-    early = session.written(spark, alike(spark, near, full, similarity), "early")
-    roots = session.written(spark, connected_components(spark, early), "roots")
-    rooted = full.join(roots, "node", "left").select("node", "n", F.coalesce("component", "node").alias("root"), "hashes")
-    others = session.written(spark, candidates(spark, rooted, similarity), "candidates")
-    others = session.written(spark, in_reach(spark, others, distinct, similarity), "in-reach")
-    late = session.written(spark, alike(spark, others, full, similarity), "late")
-    groups = connected_components(spark, early.union(late))
+    links = session.written(spark, alike(spark, near, full, similarity), "early")
+    total = full.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    often, done = _common(full, total), [near]
+    for single in (True, False):
+        roots = session.written(spark, connected_components(spark, links), "roots")
+        rooted = full.join(roots, "node", "left").select("node", "n", F.coalesce("component", "node").alias("root"), "hashes")
+        others = session.written(spark, candidates(spark, rooted, similarity, often, total, single), "candidates")
+        within = session.written(spark, in_reach(spark, others, distinct, similarity), "in-reach")
+        more = session.written(spark, links.union(alike(spark, within, full, similarity)), "links")
+        done += [roots, others, within, links]
+        links = more
+    groups = connected_components(spark, links)
     own = sets.select("doc_id", "th", "node").join(groups, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("root"))
     own = session.written(spark, own, "own")
-    session.discard(spark, sets, distinct, near, early, roots, others, late)
+    session.discard(spark, sets, distinct, links, *done)
     named = own.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("keep"))
     named = named.select("root", F.struct("keep.doc_id", "keep.th").alias("keep"))
     return own.join(named, "root").select("doc_id", "th", "keep"), own.groupBy("doc_id", "th").count().where(F.col("count") > 1).select("doc_id", "th")

@@ -19,10 +19,10 @@ whole corpus, so windows are routed first, without losing a match:
 Every mark comes from an index over bytes; hashes only route windows, and tell which runs have the context that was indexed.
 
 Anchors with more than HOT contexts (a passage in a large share of all documents, before ever different text) would put an
-unbounded group into one bin. Their windows are dealt again, by a longer string that they must share (``CORES``): windows in
-which the anchor stands about as far from the window's begin have a core of LENGTH - step + 1 bytes in common if they are
-equal. Cores that occur once are dropped as anchors are. The last step's core is the window itself, so no group stays hot, and
-only windows at the passage's very ends get so far.
+unbounded group into one bin. Their contexts' windows are dealt again, by a longer string that they must share (``CORES``):
+windows in which the anchor stands about as far from the window's begin have a core of LENGTH - step + 1 bytes in common if
+they are equal. Cores that occur once are dropped as anchors are. The last step's core is the window itself, so no group stays
+hot, and only windows at the passage's very ends get so far. This works on the bodies that were sent, not on the documents.
 
 Texts are shuffled twice, compressed; runs once. Contexts and spans of one document are bounded by its length.
 """
@@ -335,28 +335,55 @@ def cores(text: bytes, rows: list[tuple[int, int, int, int]], step: int) -> list
     return out
 
 
-def _dealt_again(docs: DataFrame, hot: DataFrame, step: int) -> DataFrame:
-    """The windows of hot runs (did, th, ws, wn, anchor, h, k) by cores: did, th, ws, wn, anchor, h, c, several, k."""
+_PART = "h long, c long, n int, h0 long, c0 long, off long, body binary"
+
+
+def _dealt_again(hot: DataFrame, step: int) -> DataFrame:
+    """The windows of contexts (or parts of them) by cores: key h and hash c of each part, its place ``off`` in the context h0, c0."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand, seen = zstandard.ZstdDecompressor(), None
         for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            for did, th, z, held in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if (did, th) == seen:
-                    continue
-                seen, text = (did, th), expand.decompress(z)
-                for nth, ws, wn, h, c in cores(text, [(r["ws"], r["wn"], r["anchor"], r["h"]) for r in held], step):
-                    for x, v in zip(cols, (did, th, ws, wn, held[nth]["anchor"], h, c, held[nth]["k"])):
-                        x.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["did", "th", "ws", "wn", "anchor", "h", "c", "k"])
+            out = []
+            for h, _, n, h0, c0, off, body in zip(*(b.column(i).to_pylist() for i in range(7))):
+                for _, ws, wn, key, c in cores(body, [(0, len(body) - LENGTH + 1, h0, h)], step):
+                    out.append((key, c, n, h0, c0, off + ws, body[ws : ws + wn + LENGTH - 1]))
+            cols = list(zip(*out)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], [c.split()[0] for c in _PART.split(", ")])
 
-    per = hot.groupBy("did", "th").agg(F.collect_list(F.struct("ws", "wn", "anchor", "h", "k")).alias("held"))
-    joined = _compressed(docs).hint("merge").join(per, ["did", "th"])  # sorted, so that repeated rows stand together
-    parted = common.mapped(joined.select("did", "th", "z", "held"), run, "did long, th long, ws long, wn int, anchor long, h long, c long, k long")
-    # Windows of one part differ: the anchor's first occurrence in each lies elsewhere.
-    return parted.groupBy("h", "c", "wn", "did", "th", "ws", "anchor").agg(F.max("k").alias("k")).withColumn("several", F.lit(False))
+    return common.mapped(hot, run, _PART)
+
+
+def _shifted(marks: DataFrame) -> DataFrame:
+    """h, c, marks of whole contexts from those of their parts (h0, c0, off, marks)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            moved = [(np.frombuffer(m, "<i4") + np.int32(off)).tobytes() for off, m in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(moved, pa.binary())], _CONTEXT)
+
+    return common.mapped(marks.select("h0", "c0", "off", "marks"), run, "h long, c long, marks binary")
+
+
+def _marks_of_hot(spark: SparkSession, hot: DataFrame, parts: int) -> DataFrame:
+    """h, c, marks for the contexts (h, c, n, body) of hot anchors."""
+    cur, found = hot.select("h", "c", "n", F.col("h").alias("h0"), F.col("c").alias("c0"), F.lit(0).cast("long").alias("off"), "body"), []
+    for at, step in enumerate(CORES):
+        cur = session.written(spark, _dealt_again(cur, step), "cores")
+        distinct = cur.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min("body").alias("one"), F.max("body").alias("two"))
+        distinct = session.written(spark, distinct, "parts")
+        keys = distinct.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("nd")).where("n > 1")
+        keys = session.written(spark, keys.select("h", (F.col("nd") > HOT if at < len(CORES) - 1 else F.lit(False)).alias("again")), "keys")
+        cold = distinct.join(keys.where("NOT again"), "h").select("h", "c", F.least("n", F.lit(2)).cast("int").alias("n"), F.explode(F.array_distinct(F.array("one", "two"))).alias("body"))
+        marks = session.written(spark, _marked_contexts(cold.repartition(parts, "h").sortWithinPartitions("h", "c")), "part-marks")
+        found.append(_shifted(cur.join(marks, ["h", "c"])))
+        if not keys.where("again").limit(1).count():
+            break
+        cur = cur.join(keys.where("again").select("h"), "h", "left_semi")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def _cut(text: bytes, found: list[dict] | None) -> list[tuple[int, int]]:
@@ -376,9 +403,6 @@ def _cut(text: bytes, found: list[dict] | None) -> list[tuple[int, int]]:
     return list(zip(p[first, 0].tolist(), end[last].tolist()))
 
 
-_RUN = ["did", "th", "ws", "wn", "anchor", "h", "c", "several", "k"]
-
-
 def found_runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """did, th, found: the runs with marks of each document that has any. ``docs`` as ``_keyed`` gives them.
 
@@ -389,34 +413,25 @@ def found_runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     runs = _runs(docs)
     counts = runs.groupBy("h").agg(F.sum(F.when(F.col("several"), 2).otherwise(1)).alias("n"))
     anchors = session.written(spark, counts.where("n > 1").select("h"), "anchors")
-    cand = runs.join(anchors, "h", "left_semi").groupBy("h", "c", "wn", "did", "th", "ws", "several").agg(F.count("*").alias("k")).withColumn("anchor", F.col("h"))
-    done, wanted, step = [], [], 0
-    while True:
-        cand = session.written(spark, cand.select(*_RUN), "runs")
-        places = [F.struct("did", "th", "ws").alias("at")]
-        distinct = cand.groupBy("h", "c", "wn").agg(F.sum("k").alias("n"), F.max("several").alias("several"), F.min(*places).alias("one"), F.max(*places).alias("two"))
-        distinct = session.written(spark, distinct, "contexts")
-        keys = distinct.groupBy("h").agg(F.count("*").alias("nd"), F.max("n").alias("most"), F.max("several").alias("several"))
-        last = step == len(CORES)
-        hot = F.lit(False) if last else F.col("nd") > HOT
-        keys = session.written(spark, keys.where("nd > 1 OR most > 1 OR several").select("h", hot.alias("hot"), (F.col("nd") > 1).alias("mixed")), "keys")
-        # alone under its key a context is a repeat of itself or nothing; beside others, one that came once counts as well
-        use = distinct.join(keys.where("NOT hot"), "h").where("n > 1 OR several OR mixed")
-        each = F.when(F.col("n") < 2, F.array(F.struct("one", F.lit(1).alias("n")))).when(F.col("one") == F.col("two"), F.array(F.struct("one", F.lit(2).alias("n")))).otherwise(F.array(F.struct("one", F.lit(1).alias("n")), F.struct(F.col("two").alias("one"), F.lit(1).alias("n"))))
-        wanted.append(use.select("h", "c", "wn", F.explode(each).alias("e")).select("h", "c", "wn", "e.n", "e.one.*"))
-        done.append(cand)
-        if last or not keys.where("hot").limit(1).count():
-            break
-        again = _dealt_again(docs, cand.join(keys.where("hot").select("h"), "h", "left_semi"), CORES[step])
-        again = session.written(spark, again, "cores")
-        twice = session.written(spark, again.groupBy("h").agg(F.sum("k").alias("n")).where("n > 1").select("h"), "shared")
-        cand = again.join(twice, "h", "left_semi")
-        step += 1
-    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
-    bodies = session.written(spark, _contexts(docs, union(wanted)), "bodies")
-    found = _marked_contexts(bodies.repartition(parts, "h").sortWithinPartitions("h", "c"))
+    cand = runs.join(anchors, "h", "left_semi").groupBy("h", "c", "wn", "did", "th", "ws", "several").agg(F.count("*").alias("k"))
+    cand = session.written(spark, cand, "runs")
+    place = F.struct("did", "th", "ws")
+    distinct = cand.groupBy("h", "c", "wn").agg(F.sum("k").alias("n"), F.max("several").alias("several"), F.min(place).alias("one"), F.max(place).alias("two"))
+    distinct = session.written(spark, distinct, "contexts")
+    keys = distinct.groupBy("h").agg(F.count("*").alias("nd"), F.max("n").alias("most"), F.max("several").alias("several"))
+    keys = session.written(spark, keys.where("nd > 1 OR most > 1 OR several").select("h", (F.col("nd") > HOT).alias("hot"), (F.col("nd") > 1).alias("mixed")), "keys")
+    # alone under its anchor a context is a repeat of itself or nothing; beside others, one that came once counts as well
+    use = distinct.join(keys, "h").where("n > 1 OR several OR mixed")
+    each = F.when(F.col("n") < 2, F.array(F.struct("one", F.lit(1).alias("n")))).when(F.col("one") == F.col("two"), F.array(F.struct("one", F.lit(2).alias("n")))).otherwise(F.array(F.struct("one", F.lit(1).alias("n")), F.struct(F.col("two").alias("one"), F.lit(1).alias("n"))))
+    wanted = use.select("h", "c", "wn", F.explode(each).alias("e")).select("h", "c", "wn", "e.n", "e.one.*")
+    bodies = session.written(spark, _contexts(docs, wanted), "bodies")
+    hot = keys.where("hot").select("h")
+    found = _marked_contexts(bodies.join(hot, "h", "left_anti").repartition(parts, "h").sortWithinPartitions("h", "c"))
+    if hot.limit(1).count():
+        found = found.unionByName(_marks_of_hot(spark, bodies.join(hot, "h", "left_semi"), parts))
     marks = session.written(spark, found.groupBy("h", "c").agg(F.collect_set("marks").alias("marks")), "marks")
-    return union(done).join(marks, ["h", "c"]).groupBy("did", "th").agg(F.collect_list(F.struct("ws", "marks")).alias("found"))
+    session.discard(spark, anchors, distinct, keys, bodies)
+    return cand.join(marks, ["h", "c"]).groupBy("did", "th").agg(F.collect_list(F.struct("ws", "marks")).alias("found"))
 
 
 def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
