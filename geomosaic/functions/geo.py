@@ -111,8 +111,8 @@ def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
 
 
 def boxes_touch(a: Box, b: Box, pad: float = 0.0) -> Column:
-    """Closed boxes, each side padded."""
-    p = F.lit(float(pad))
+    """Closed boxes, both padded on each side."""
+    p = F.lit(2 * float(pad))
     return (a.xmin - p <= b.xmax) & (b.xmin <= a.xmax + p) & (a.ymin - p <= b.ymax) & (b.ymin <= a.ymax + p)
 
 
@@ -231,3 +231,30 @@ def basename(path: Column) -> Column:
 def intensity(value: Column, top: Column) -> Column:
     """0..255 by share of the top; a top of 0 counts as 1."""
     return (F.lit(255.0) * value / F.when(top > 0, top).otherwise(F.lit(1.0))).cast("int")
+
+
+def scaled_point(gt: Geotransform, scale: float, x: Column, y: Column) -> tuple[Column, Column]:
+    """A world point on an image scaled by ``scale``, truncated to whole pixels."""
+    return ((x - F.lit(gt.origin_x)) / F.lit(gt.pixel_w) * F.lit(float(scale))).cast("long"), ((y - F.lit(gt.origin_y)) / F.lit(gt.pixel_h) * F.lit(float(scale))).cast("long")
+
+
+def drawable(box: Box, least: int = 2) -> Column:
+    """Whether a pixel box has ``least`` pixels at least on each side."""
+    return (box.xmax - box.xmin >= least) & (box.ymax - box.ymin >= least)
+
+
+def blend(a: Column, b: Column, alpha: float) -> Column:
+    """alpha of ``a`` and the rest of ``b``, as a byte: rounded half to even and held to 0..255."""
+    return F.greatest(F.lit(0), F.least(F.lit(255), F.bround(F.lit(alpha) * a + F.lit(1.0 - alpha) * b))).cast("int")
+
+
+def three_channels(bands: Column) -> Column:
+    """array<int> of three bands: one is repeated, a fourth is dropped; values beyond a byte are held to it."""
+    byte = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), v.cast("int")))
+    held = F.transform(bands, byte)
+    return F.when(F.size(bands) == 1, F.array_repeat(F.get(held, F.lit(0)), 3)).when(F.size(bands) >= 3, F.slice(held, 1, 3))
+
+
+def percent(share: Column, digits: int = 1) -> Column:
+    """0.5 as "50.0%"."""
+    return F.concat(F.format_number(share * 100, digits), F.lit("%"))

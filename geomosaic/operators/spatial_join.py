@@ -103,12 +103,16 @@ def in_polygon(polygon: Column, x: Column, y: Column) -> Column:
     return (n >= 3) & (walked["odd"] | walked["on"])
 
 
-def points_in_objects(points: DataFrame, polygons: DataFrame, pad: float = 0.5, cell: float = 2.0, broadcast_rows: int = 200_000) -> DataFrame:
-    """ord, si: for each point (ord, x, y) inside an object the smallest si among the objects that hold it.
+#: Estimated bytes of the objects' side up to which it is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def located(points: DataFrame, polygons: DataFrame, pad: float = 0.5, cell: float = 2.0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``points`` (ord, x, y and more) with si: the smallest among the objects that hold the point, null if none does.
 
     polygons: si, polygon, one or more rows for each object. An object's boxes are united, padded and dealt to the cells they
-    touch; points keep their place and meet them by cell. The polygons' side is broadcast if it counts at most
-    ``broadcast_rows`` dealt rows; else both sides are shuffled by cell.
+    touch. If those cells' estimated bytes are few, each is one row with all its objects, and points meet it by a broadcast
+    join: they are not shuffled. Else both sides are shuffled by cell, one row an object and cell, and the hits by ``ord``.
     """
     xs = lambda f: f(F.transform("polygon", lambda p: p["x"].cast("float")))
     ys = lambda f: f(F.transform("polygon", lambda p: p["y"].cast("float")))
@@ -117,9 +121,23 @@ def points_in_objects(points: DataFrame, polygons: DataFrame, pad: float = 0.5,
     boxed = boxed.select("si", "polygons", (F.col("x0") - p).cast("float").alias("x0"), (F.col("y0") - p).cast("float").alias("y0"), (F.col("x1") + p).cast("float").alias("x1"), (F.col("y1") + p).cast("float").alias("y1"))
     at = lambda c: F.floor(F.col(c).cast("double") / F.lit(float(cell)))
     dealt = boxed.withColumn("gx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("gy", F.explode(F.sequence(at("y0"), at("y1"))))
-    side = F.broadcast(dealt) if dealt.limit(broadcast_rows + 1).count() <= broadcast_rows else dealt
+    from geomosaic import session
+
+    dealt = session.written(points.sparkSession, dealt, "cells")
+    vertices = F.aggregate("polygons", F.lit(0), lambda n, q: n + F.size(q))
+    size = dealt.agg(F.sum(F.lit(64) + 16 * vertices)).head()[0] or 0
     placed = points.withColumn("gx", at("x")).withColumn("gy", at("y"))
     x, y = F.col("x").cast("float"), F.col("y").cast("float")
-    hit = placed.join(side, ["gx", "gy"]).where((x >= F.col("x0")) & (x <= F.col("x1")) & (y >= F.col("y0")) & (y <= F.col("y1")))
-    inside = F.exists("polygons", lambda poly: in_polygon(poly, x.cast("double"), y.cast("double")))
-    return hit.where(inside).groupBy("ord").agg(F.min("si").alias("si"))
+    holds = lambda o: (x >= o["x0"]) & (x <= o["x1"]) & (y >= o["y0"]) & (y <= o["y1"]) & F.exists(o["polygons"], lambda poly: in_polygon(poly, x.cast("double"), y.cast("double")))
+    held = F.struct("si", "polygons", "x0", "y0", "x1", "y1")
+    if size <= broadcast_bytes:
+        cells = dealt.groupBy("gx", "gy").agg(F.collect_list(held).alias("objects"))
+        found = F.array_min(F.transform(F.filter(F.coalesce("objects", F.array()), holds), lambda o: o["si"]))
+        return placed.join(F.broadcast(cells), ["gx", "gy"], "left").withColumn("si", found).drop("gx", "gy", "objects")
+    hit = placed.select("ord", "x", "y", "gx", "gy").join(dealt.select("gx", "gy", held.alias("o")), ["gx", "gy"]).where(holds(F.col("o")))
+    return points.join(hit.groupBy("ord").agg(F.min("o.si").alias("si")), "ord", "left")
+
+
+def points_in_objects(points: DataFrame, polygons: DataFrame, pad: float = 0.5, cell: float = 2.0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """ord, si: the points inside an object, with the smallest si among those that hold it (see ``located``)."""
+    return located(points.select("ord", "x", "y"), polygons, pad, cell, broadcast_bytes).where("si IS NOT NULL").select("ord", "si")

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geomosaic import session
 from geomosaic.functions.geo import Box, Geotransform, expand_bounds, numbered, pixel_to_world
 
 
@@ -146,7 +147,7 @@ def quadtree(spark: SparkSession, pixels: DataFrame, bounds, width: int, height:
         seen = seen.withColumn("edge_density", F.col("edges") / n).withColumn("content_ratio", F.col("bright") / n)
         large = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) > cfg.min_size
         fate = F.when(F.col("content_ratio") < cfg.min_content, "black").when(F.col("edges") == 0, "no_edges").when((F.col("edge_density") >= cfg.density) & large, "split").otherwise("")
-        seen = seen.withColumn("fate", fate)
+        seen = session.written(spark, seen.withColumn("fate", fate), "level")  # the next level doesn't measure this one again
         leaves = seen.where("fate <> 'split'")
         done = leaves if done is None else done.unionByName(leaves)
         if level == rounds - 1:

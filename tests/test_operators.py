@@ -149,10 +149,24 @@ def test_points_on_a_boundary_are_inside_and_the_first_object_wins(spark):
     pts = spark.createDataFrame([(0, 3.0, 1.0), (1, 5.0, 1.0), (2, 6.0, 4.0), (3, 7.0, 1.0)], "ord long, x float, y float")
     got = {r["ord"]: r["si"] for r in spatial_join.points_in_objects(pts, polys).collect()}
     assert got == {0: 0, 1: 1, 2: 1}
-    shuffled = {r["ord"]: r["si"] for r in spatial_join.points_in_objects(pts, polys, broadcast_rows=0).collect()}
+    shuffled = {r["ord"]: r["si"] for r in spatial_join.points_in_objects(pts, polys, broadcast_bytes=-1).collect()}
     assert shuffled == got
 
 
+def test_colouring_does_not_shuffle_the_points(spark):
+    square = spark.createDataFrame([(0, [{"x": 0.0, "y": 0.0}, {"x": 4.0, "y": 0.0}, {"x": 4.0, "y": 4.0}])], "si int, polygon array<struct<x:float,y:float>>")
+    pts = spark.range(50).select(F.col("id").alias("ord"), (F.col("id") / 10).alias("x"), (F.col("id") / 10).alias("y"), F.lit(0.0).alias("z"))
+    df = points.colored(pts, square)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    above = plan[: plan.index("BroadcastHashJoin")]
+    assert "Exchange" not in above and "SortMergeJoin" not in plan and df.count() == 50
+
+
+def test_boxes_touch_pads_both(spark):
+    row = spark.range(1).select(*[geo.boxes_touch(geo.Box(*map(F.lit, (0.0, 0.0, 1.0, 1.0))), geo.Box(*map(F.lit, (x, 0.0, x + 1, 1.0))), 0.5).alias(f"b{i}") for i, x in enumerate((1.5, 2.0, 2.25))]).head()
+    assert list(row) == [True, True, False]
+
+
 def test_statistics_of_no_rows(spark):
     none = spark.createDataFrame([], "stone_id string, equivalent_diameter_m double, volume_m3 double, area_m2 double, score double")
     assert stats.describe(stats.measures(none)).count() == 1
