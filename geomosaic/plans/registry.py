@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from geomosaic import session
 from geomosaic.functions import geo, rle
-from geomosaic.operators import detect, fuse, graph, points, spatial_join, stats, tiling, vision, volume
+from geomosaic.operators import detect, fuse, graph, points, report, spatial_join, stats, tiling, vision, volume
 from geomosaic.plans import fixtures as fx
+from geomosaic.sources import las, raster
 
 GT = geo.Geotransform(623422.47, 0.01, 0.0, 4678756.5, 0.0, -0.01)
 DOM_W, DOM_H = 7270, 22730
@@ -465,23 +466,136 @@ def cubic_fit_sums(spark, d):
     return s.withColumns({c: F.round(c, 4) for c in s.columns if c != "n"})
 
 
-# Beyond SQL
+# Shapes with known answers
 
+_SIDES = "1 + p_size / 16.0::DOUBLE AS a, 1 + (p_partkey % 7) / 8.0::DOUBLE AS b, 0.5 + (p_partkey % 5) / 4.0::DOUBLE AS c"
 
-@query()
+
+@query(f"SELECT p_partkey, round(a * b * c, 6) AS volume_m3, round(2 * (a * b + b * c + a * c), 6) AS surface_area_m2, CAST(9 AS BIGINT) AS point_count, 'convex_hull' AS method FROM (SELECT p_partkey, {_SIDES} FROM part) q")
 def hull_volume(spark, d):
-    return volume.compute_volume(fx.frame(spark, d, fx.CLOUDS), ["stone"], "convex_hull")
+    box = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", (1 + F.col("p_size") / 16).alias("a"), (1 + F.col("p_partkey") % 7 / 8).alias("b"), (0.5 + F.col("p_partkey") % 5 / 4).alias("c"))
+    corners = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (0.0, 1.0) for j in (0.0, 1.0) for k in (0.0, 1.0)], F.struct(F.lit(0.5).alias("i"), F.lit(0.5).alias("j"), F.lit(0.25).alias("k")))
+    pts = box.withColumn("t", F.explode(corners)).select("p_partkey", (F.col("a") * F.col("t.i")).alias("x"), (F.col("b") * F.col("t.j")).alias("y"), (F.col("c") * F.col("t.k")).alias("z"))
+    return volume.compute_volume(pts, ["p_partkey"], "convex_hull").select("p_partkey", F.round("volume_m3", 6).alias("volume_m3"), F.round("surface_area_m2", 6).alias("surface_area_m2"), "point_count", "method")
 
 
-@query()
-def alpha_volume(spark, d):
-    return volume.compute_volume(fx.frame(spark, d, fx.CLOUDS), ["stone"], "alpha_shape", voxel_size=0.03)
+_RECT = "1 + p_partkey % 3 AS x0, 1 + p_partkey % 4 AS y0, 3 + p_size % 5 AS w, 3 + p_partkey % 6 AS h"
 
 
-@query()
+@query(f"SELECT p_partkey, 4 AS vertices, x0 * 0.125::DOUBLE AS ax, 64.0::DOUBLE - (y0 + h - 1) * 0.125::DOUBLE AS ay, (x0 + w - 1) * 0.125::DOUBLE AS bx, 64.0::DOUBLE - y0 * 0.125::DOUBLE AS by FROM (SELECT p_partkey, {_RECT} FROM part) q")
 def mask_polygon(spark, d):
-    m = _masks(spark, d).withColumn("pixel_origin", F.array(F.lit(0), F.lit(0)))
-    return vision.mask_polygons(m, PIX_GT).select("vec_id", "polygon")
+    r = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey", *[x.strip() for x in _RECT.split(",")])
+    on = lambda i: (F.pmod(i, F.lit(12)) >= F.col("x0")) & (F.pmod(i, F.lit(12)) < F.col("x0") + F.col("w")) & (F.floor(i / 12) >= F.col("y0")) & (F.floor(i / 12) < F.col("y0") + F.col("h"))
+    m = r.withColumn("pixels", F.transform(F.sequence(F.lit(0), F.lit(143)), lambda i: F.when(on(i), 1).otherwise(0)))
+    m = m.select("p_partkey", rle.encode(F.col("pixels"), F.lit(12), F.lit(12)).alias("rle_mask"), F.array(F.lit(0), F.lit(0)).alias("pixel_origin"))
+    corner = lambda i, c: F.get(F.array_sort("polygon"), F.lit(i))[c].cast("double")  # noqa: E731  by x, then y
+    return vision.mask_polygons(m, PIX_GT).select("p_partkey", F.size("polygon").alias("vertices"), corner(0, "x").alias("ax"), corner(0, "y").alias("ay"), corner(3, "x").alias("bx"), corner(3, "y").alias("by"))
+
+
+# Files
+
+
+@query(f"WITH {_CLD} SELECT x, y, CAST(stone AS DOUBLE) AS z FROM cld")
+def las_points(spark, d):
+    folder = session.scratch(spark, "las")
+    cloud = fx.frame(spark, d, fx.CLOUDS).select("x", "y", F.col("stone").alias("z"))
+    files = [r["file"] for r in las.write(cloud.repartition(3), folder, 1 / 128).collect()]  # a row a file
+    return las.points(spark, sorted(files), range_points=4096).select("x", "y", "z")
+
+
+def _raster(spark) -> str:
+    """The pixel fixture as a TIFF file in the shared folder."""
+    import numpy as np
+    from pyarrow import fs
+
+    py, px = np.mgrid[0 : fx.HEIGHT, 0 : fx.WIDTH]
+    v = np.where((px // 128 + py // 128) % 5 == 0, 0, (px * 31 + py * 17 + (px // 64) * (py // 64) * 7) % 256).astype(np.uint8)
+    path = session.scratch(spark, "raster") + ".tif"
+    where, at = fs.FileSystem.from_uri(path)
+    where.create_dir(at.rpartition("/")[0], recursive=True)
+    with where.open_output_stream(at) as f:
+        f.write(raster.encoded(v[:, :, None]))
+    return path
+
+
+@query(f"WITH {_PIX} SELECT CAST(px // 64 * 64 AS INTEGER) AS x, CAST(py // 64 * 64 AS INTEGER) AS y, count(*) AS pixels, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (px % 64 + 64 * (py % 64))) AS BIGINT) AS placed FROM pix GROUP BY 1, 2")
+def raster_blocks(spark, d):
+    px = raster.pixels(raster.blocks(spark, _raster(spark))).withColumn("v", F.get("bands", F.lit(0)).cast("long"))
+    at = lambda c: (F.floor(F.col(c) / 64) * 64).cast("int")
+    return px.groupBy(at("px").alias("x"), at("py").alias("y")).agg(F.count("*").alias("pixels"), F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("px") % 64 + 64 * (F.col("py") % 64))).alias("placed"))
+
+
+@query("SELECT 640 AS width, 512 AS height, 1 AS bands, 0.125::DOUBLE AS resolution, 0.0::DOUBLE AS xmin, 0.0::DOUBLE AS ymin, 80.0::DOUBLE AS xmax, 64.0::DOUBLE AS ymax")
+def raster_metadata(spark, d):
+    return raster.metadata(spark, _raster(spark), PIX_GT)
+
+
+@query(f"WITH {_PIX} SELECT CAST(px // 4 AS BIGINT) AS px, CAST(py // 4 AS BIGINT) AS py, avg(v) AS v, 0.25::DOUBLE AS scale FROM pix GROUP BY 1, 2")
+def raster_downscaled(spark, d):
+    small, scale = raster.downscaled(spark, _raster(spark), 160)
+    return small.select("px", "py", F.get("bands", F.lit(0)).alias("v"), F.lit(scale).alias("scale"))
+
+
+@query(f"{_COMP}, {_STONE} SELECT label, source_detection_count, source_patches_span, max(label) OVER () AS top FROM stone")
+def stage_files(spark, d):
+    found = _stones(spark, d, "heuristic")
+    folder = session.scratch(spark, "stage")
+    report.write_stage(folder, found.agg(F.max("label").alias("top")), stones=found)
+    stones = spark.read.parquet(f"{folder}/stones").select("label", "source_detection_count", "source_patches_span")
+    return stones.crossJoin(F.broadcast(report.read_summary(spark, folder, "top long")))
+
+
+# Overlay and report rows
+
+_OVER = "least(CAST(trunc(xmin / 0.125 * 0.5) AS BIGINT), CAST(trunc(xmax / 0.125 * 0.5) AS BIGINT)) AS x0, least(CAST(trunc((ymin - 64.0) / -0.125 * 0.5) AS BIGINT), CAST(trunc((ymax - 64.0) / -0.125 * 0.5) AS BIGINT)) AS y0, greatest(CAST(trunc(xmin / 0.125 * 0.5) AS BIGINT), CAST(trunc(xmax / 0.125 * 0.5) AS BIGINT)) AS x1, greatest(CAST(trunc((ymin - 64.0) / -0.125 * 0.5) AS BIGINT), CAST(trunc((ymax - 64.0) / -0.125 * 0.5) AS BIGINT)) AS y1"
+
+
+@query(f"WITH {_STATUS} SELECT {_OVER}, patch_id AS id, right(patch_id, 4) AS label, CASE WHEN status = 'kept' THEN '#2ecc71' ELSE '#e74c3c' END AS color FROM tiles")
+def window_overlay(spark, d):
+    return report.window_overlay(_status(spark, d), PIX_GT, 0.5)
+
+
+@query(f"WITH {_QUADTREE} SELECT {_OVER}, tile_id AS id, 'L' || (length(tile_id) - length(replace(tile_id, '_', '')) - 1) AS label, CAST(least(length(tile_id) - length(replace(tile_id, '_', '')) - 1, 3) AS INTEGER) AS color FROM leaf WHERE NOT skipped")
+def level_overlay(spark, d):
+    return report.level_overlay(_quadtree(spark, d), PIX_GT, 0.5)
+
+
+@query(f"WITH {_QUADTREE} SELECT {_OVER}, tile_id AS id, CAST(trunc(255.0 * edge_density / max(edge_density) OVER ()) AS INTEGER) AS color FROM leaf WHERE NOT skipped")
+def density_overlay(spark, d):
+    return report.density_overlay(_quadtree(spark, d), PIX_GT, 0.5).drop("label")
+
+
+@query(f"""{_COMP}, {_STONE}, box AS (SELECT label AS id, source_detection_count AS members, CAST(trunc((xmin - 623422.0) / 0.125 * 0.5) AS BIGINT) AS x0, CAST(trunc((xmax - 623422.0) / 0.125 * 0.5) AS BIGINT) AS x1,
+CAST(trunc((ymax - 4678780.0) / -0.125 * 0.5) AS BIGINT) AS ya, CAST(trunc((ymin - 4678780.0) / -0.125 * 0.5) AS BIGINT) AS yb FROM stone)
+SELECT x0, least(ya, yb) AS y0, x1, greatest(ya, yb) AS y1, id, members, CAST(CASE WHEN members <= 1 THEN 0 WHEN members <= 2 THEN 1 WHEN members <= 3 THEN 2 WHEN members <= 5 THEN 3 WHEN members <= 10 THEN 4 ELSE 5 END AS INTEGER) AS class FROM box WHERE x1 - x0 >= 2 AND greatest(ya, yb) - least(ya, yb) >= 2""")
+def fusion_overlay(spark, d):
+    gt = geo.Geotransform(623422.0, 0.125, 0.0, 4678780.0, 0.0, -0.125)
+    return report.fusion_overlay(_stones(spark, d, "heuristic"), gt, 0.5, "heuristic").drop("method", "color")
+
+
+@query(f"""WITH {_STATUS} SELECT 'sahi' AS method, CAST(count(*) AS VARCHAR) AS total, CAST(count(*) FILTER (WHERE status = 'kept') AS VARCHAR) AS kept, CAST(count(*) FILTER (WHERE status <> 'kept') AS VARCHAR) AS skipped FROM tiles
+UNION ALL SELECT * FROM (WITH {_QUADTREE} SELECT 'quadtree_dom', CAST(count(*) AS VARCHAR), CAST(count(*) FILTER (WHERE NOT skipped) AS VARCHAR), CAST(count(*) FILTER (WHERE skipped) AS VARCHAR) FROM leaf) q""")
+def tiling_compare(spark, d):
+    both = {"sahi": tiling.tiling_summary(_status(spark, d), fx.WIDTH, fx.HEIGHT), "quadtree_dom": tiling.quadtree_summary(_quadtree(spark, d), PIX_BOUNDS)}
+    return report.compared(both).drop("coverage")
+
+
+@query("""SELECT p_partkey, CAST(greatest(0, least(255, round_even(0.25 * (p_size * 5) + 0.75 * (p_partkey % 256), 0))) AS INTEGER) AS blended, p_size % 256 || ',' || p_size % 256 || ',' || p_size % 256 AS gray, p_size || ',0,255' AS held,
+CAST(trunc((p_partkey * 0.5::DOUBLE - 4.0) / 0.125 * 0.5) AS BIGINT) AS px, CAST(trunc((p_size * 0.25::DOUBLE - 64.0) / -0.125 * 0.5) AS BIGINT) AS py FROM part""")
+def pixel_functions(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    size, key = F.col("p_size").cast("int"), F.col("p_partkey").cast("int")
+    px, py = geo.scaled_point(geo.Geotransform(4.0, 0.125, 0.0, 64.0, 0.0, -0.125), 0.5, key * F.lit(0.5), size * F.lit(0.25))
+    text = lambda c: F.concat_ws(",", c.cast("array<string>"))
+    return p.select("p_partkey", geo.blend(size * 5, key % 256, 0.25).alias("blended"), text(geo.three_channels(F.array(size))).alias("gray"), text(geo.three_channels(F.array(size, F.lit(-3), F.lit(300), F.lit(7)))).alias("held"), px.alias("px"), py.alias("py"))
+
+
+# Beyond SQL
+
+
+@query()
+def alpha_volume(spark, d):
+    return volume.compute_volume(fx.frame(spark, d, fx.CLOUDS), ["stone"], "alpha_shape", voxel_size=0.03)
 
 
 @query()
