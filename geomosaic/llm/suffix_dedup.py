@@ -192,21 +192,24 @@ class RunLengthIndex:
         for j in range(7):
             key = (key << 9) | np.where(self.left > j, padded[j : j + n], 0)
         self.seven = np.concatenate([key, np.zeros(7, np.int64)])  # seven symbols at once, for comparisons
-        h = 7
-        while True:
-            order = np.argsort(key)  # equal keys in any order: only the last round needs one
-            ranked = key[order]
-            step = ranked[1:] != ranked[:-1]
-            if step.all():
-                return order
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate([[1], np.cumsum(step) + 1])
-            if h >= longest:  # equal suffixes of different strings stand in the order of their separators
-                return np.argsort(rank * n + np.arange(n))
-            later = np.zeros(n, np.int64)
-            later[: n - h] = rank[h:]
-            key = rank * (n + 1) + np.where(self.left > h, later, 0)
+        order = np.argsort(key)
+        rank = np.empty(n, np.int64)  # a suffix's rank is the place of the first that is equal to it so far
+        rank[order] = np.maximum.accumulate(np.where(np.concatenate([[True], key[order][1:] != key[order][:-1]]), np.arange(n), 0))
+        tied = np.bincount(rank, minlength=n)[rank] > 1
+        some, h = np.flatnonzero(tied), 7
+        while len(some) and h < longest:  # only what is still tied is sorted again, by what follows
+            later = np.where(self.left[some] > h, rank[np.minimum(some + h, n - 1)] + 1, 0)
+            fine = rank[some] * (n + 1) + later
+            by = np.argsort(fine)
+            some, fine, place = some[by], fine[by], np.arange(len(some))
+            coarse = rank[some]
+            new = np.concatenate([[True], fine[1:] != fine[:-1]])
+            first, group = (np.maximum.accumulate(np.where(x, place, 0)) for x in (new, np.concatenate([[True], coarse[1:] != coarse[:-1]])))
+            rank[some] = coarse + first - group
+            size = np.diff(np.append(np.flatnonzero(new), len(some)))
+            some = some[np.repeat(size > 1, size)]
             h *= 2
+        return np.argsort(rank * n + np.arange(n))  # equal suffixes of different strings: in the order of their separators
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes a and b, within their strings."""
