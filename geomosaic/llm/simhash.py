@@ -16,10 +16,11 @@ into chunks, and each pair of chunks becomes a group of its own, so no task hold
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -391,8 +392,9 @@ def least_overlap(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray
 
 def alike(spark: SparkSession, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The src, dst of ``pairs`` whose sets have the similarity, by their elements."""
-    ends = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
-    some = session.written(spark, sets.select("node", "hashes").join(ends, "node", "left_semi").dropDuplicates(["node"]), "ends")
+    ends = session.written(spark, pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "end-nodes")
+    passes = sieve(ends, ends.count())
+    some = session.written(spark, sets.select("node", "hashes").where(passes("node")).join(ends, "node", "left_semi").dropDuplicates(["node"]), "ends")
     one, two = (some.select(F.col("node").alias(x), F.col("hashes").alias(f"of_{x}")) for x in ("src", "dst"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,14 +432,8 @@ def in_reach(spark: SparkSession, pairs: DataFrame, prints: DataFrame, similarit
     return common.mapped(joined, run, "src long, dst long")
 
 
-def _common(sets: DataFrame, total: int) -> np.ndarray:
-    """A bitmap of hashed shingles that many documents hold: those that COMMON sets of every SHARE-th have. It only changes the
-    order of elements, never the result, so its size may be bounded: elements that fall on a set bit by chance come later."""
-    bits = 1 << min(27, max(20, int(total // 64).bit_length()))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.chunks(batches, 2 << 20, "hashes"):
-            yield pa.RecordBatch.from_arrays([pa.array(unpacked48(b"".join(b.column(0).to_pylist())).view(np.int64))], ["hash"])
+def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The bits on which the longs of the one column fall, packed into bytes."""
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(bits // 8, np.uint8)
@@ -454,26 +450,56 @@ def _common(sets: DataFrame, total: int) -> np.ndarray:
                 own |= np.frombuffer(zlib.decompress(x), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["bits"])
 
-    some = sets.where(F.pmod("node", F.lit(SHARE)) == 0).dropDuplicates(["node"]).select("hashes")
-    found = common.mapped(some, run, "hash long").groupBy("hash").count().where(F.col("count") >= COMMON).select("hash")
-    marked = common.mapped(common.mapped(found, mark, "bits binary").repartition(1), join, "bits binary")  # one bitmap a task
+    marked = common.mapped(common.mapped(hashes, mark, "bits binary").repartition(1), join, "bits binary")  # one bitmap a task
     out = np.zeros(bits // 8, np.uint8)
     for r in marked.collect():
         out |= np.frombuffer(zlib.decompress(r[0]), np.uint8)
     return out
 
 
+def sieve(keys: DataFrame, count: int) -> Callable[[Column], Column]:
+    """A test for the longs of ``keys`` (one column, ``count`` rows): true for each of them and for few others, so that rows that
+    can't match need not be shuffled for the join that decides. 16 to 32 bits a key, 16 MB at most; beyond 2^27 / 16 keys more
+    others pass, and the join has more to do."""
+    bits = 1 << min(27, max(16, (16 * count).bit_length()))
+    marks = _bitmap(keys, bits)
+
+    @F.pandas_udf("boolean")
+    def passes(key: pd.Series) -> pd.Series:
+        at = _bit(key.to_numpy(np.int64).view(np.uint64), bits)
+        return pd.Series((marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return passes
+
+
+def _common(sets: DataFrame, total: int) -> np.ndarray:
+    """A bitmap of hashed shingles that many documents hold: those that COMMON sets of every SHARE-th have. It only changes the
+    order of elements, never the result, so its size may be bounded: elements that fall on a set bit by chance come later."""
+    bits = 1 << min(27, max(20, int(total // 64).bit_length()))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.chunks(batches, 2 << 20, "hashes"):
+            yield pa.RecordBatch.from_arrays([pa.array(unpacked48(b"".join(b.column(0).to_pylist())).view(np.int64))], ["hash"])
+
+    some = sets.where(F.pmod("node", F.lit(SHARE)) == 0).dropDuplicates(["node"]).select("hashes")
+    found = common.mapped(some, run, "hash long").groupBy("hash").count().where(F.col("count") >= COMMON).select("hash")
+    return _bitmap(found, bits)
+
+
 def _bit(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (common.mix(hashes + common.GOLD) % np.uint64(bits)).astype(np.int64)
 
 
+def _few(tok: np.ndarray) -> np.ndarray:
+    """Elements of the lowest quarter of hashes: most of a prefix, as that holds a set's lowest ones."""
+    return tok >> np.uint64(62) == 0
+
+
 def _pairs(tok: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, similarity: float, single: bool) -> Iterator[tuple[np.ndarray, ...]]:
     """src, dst, sizes of both, and how many elements ``tok`` they have in common, for nodes of different roots whose sizes
-    allow the similarity. ``single``: under every fourth element one node of each root (another for each element), paired with
+    allow the similarity. ``single``: under each element (of ``_few``) one node of each root (another for each element), paired with
     the next root's in an order that changes from element to element; so no more pairs than elements."""
     if single:
-        some = tok >> np.uint64(62) == 0
-        tok, node, root, n = tok[some], node[some], root[some], n[some]
         by = np.lexsort((common.mix(node.view(np.uint64) ^ tok), common.mix(root.view(np.uint64) ^ common.mix(tok)), tok))
         tok, node, root, n = tok[by], node[by], root[by], n[by]
         first = np.concatenate([[True], (tok[1:] != tok[:-1]) | (root[1:] != root[:-1])]) if len(tok) else np.zeros(0, bool)
@@ -528,6 +554,9 @@ def candidates(spark: SparkSession, sets: DataFrame, similarity: float, often: n
             place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             first = by[place < np.repeat(prefix_size(n, similarity), n)]
             tok, own = h[first], own[first]
+            if single:
+                few = _few(tok)
+                tok, own = tok[few], own[few]
             to = (common.mix(tok) % np.uint64(slices)).astype(np.int64)
             by = np.argsort(to, kind="stable")
             tok, own, to = tok[by], own[by], to[by]
@@ -618,13 +647,17 @@ def deduplicated(spark: SparkSession, docs: DataFrame, words: int = 5, similarit
     named = [F.coalesce("doc_id", F.lit(0)).alias("_did"), F.isnull("doc_id").alias("_none"), F.col("th").alias("_th")]
     gone = session.written(spark, gone.select(*named).distinct(), "gone")
     repeats = session.written(spark, repeats.select(*named), "repeats")
-    did, th = docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
-    def same(keys: DataFrame) -> Column:
+    def same(rows: DataFrame, keys: DataFrame) -> Column:
+        did, th = rows["doc_id"].cast("long"), F.xxhash64(F.coalesce(rows["text"], F.lit("")))
         return (F.coalesce(did, F.lit(0)) == keys["_did"]) & (did.isNull() == keys["_none"]) & (th == keys["_th"])
 
-    kept = docs.join(gone, same(gone), "left_anti")
+    # only rows that may go are shuffled
+    did, th = docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    may_go = sieve(gone.select(F.xxhash64("_did", "_none", "_th").alias("key")), gone.count())(F.xxhash64(F.coalesce(did, F.lit(0)), did.isNull(), th))
+    rest = docs.where(may_go)
+    kept = docs.where(~may_go).union(rest.join(gone, same(rest, gone), "left_anti"))
     if not repeats.limit(1).count():
         return kept
-    again = kept.join(repeats, same(repeats), "left_semi").withColumn("_text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return kept.join(repeats, same(repeats), "left_anti").unionByName(again)
+    again = kept.join(repeats, same(kept, repeats), "left_semi").withColumn("_text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return kept.join(repeats, same(kept, repeats), "left_anti").unionByName(again)

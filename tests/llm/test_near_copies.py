@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from geomosaic.llm import simhash
 from tests.llm.test_pipeline import shingles
 
@@ -71,3 +73,11 @@ def test_the_filter_lets_pairs_of_the_similarity_pass(spark):
     both = spark.createDataFrame([(node[2 * i], node[2 * j + 1]) for i in range(200) for j in (i, (i + 7) % 200)], "src long, dst long")
     left = {(r["src"], r["dst"]) for r in simhash.in_reach(spark, both, sets.select("node", "n", "fp"), 0.8).collect()}
     assert left == {(node[2 * i], node[2 * i + 1]) for i in range(200)}
+
+
+def test_a_sieve_passes_every_key_and_few_others(spark):
+    keys = spark.range(0, 40_000, 4).selectExpr("xxhash64(id) AS key")
+    passes = simhash.sieve(keys, 10_000)
+    left = {r["id"] for r in spark.range(40_000).where(passes(F.xxhash64("id"))).collect()}
+    assert left >= set(range(0, 40_000, 4)) and len(left) < 13_000
+    assert not spark.range(9).where(simhash.sieve(keys.where("false"), 0)(F.xxhash64("id"))).count()
