@@ -74,7 +74,8 @@ def outliers(rows: DataFrame, column: str) -> DataFrame:
 
 
 def cumulative_volume(rows: DataFrame, key: str = "stone_id") -> DataFrame:
-    """Running volume and its share of the total from the largest diameter down; ties by ``key``.
+    """Running volume and its share of the total from the largest diameter down; ties by ``key``, then by volume, so that the
+    rows are the same in every run where keys repeat.
 
     Ranges of the order are summed first and each range adds what stands before it, so no task sorts the whole table.
     """
@@ -82,7 +83,7 @@ def cumulative_volume(rows: DataFrame, key: str = "stone_id") -> DataFrame:
 
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.desc("equivalent_diameter_m"), F.asc(key)]
+    order = [F.desc("equivalent_diameter_m"), F.asc(key), F.asc("volume_m3")]
     dealt = session.written(spark, rows.select(key, "equivalent_diameter_m", "volume_m3").repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ranked")
     sums = dealt.groupBy("part").agg(F.sum("volume_m3").alias("s"), F.count("*").alias("k"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range

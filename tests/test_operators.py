@@ -243,3 +243,11 @@ def test_a_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
     session.discard(spark, kept)
     with pytest.raises(Exception):
         spark.read.parquet(kept.written_to)
+
+
+def test_running_volume_is_the_same_for_any_order_of_repeated_keys(spark):
+    rows = [("stone_100000", 2.0, float(v)) for v in (5, 1, 3)] + [("stone_100001", 2.0, 2.0), ("stone_000001", 3.0, 4.0)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "stone_id string, equivalent_diameter_m double, volume_m3 double").coalesce(1)
+        got = sorted((r["rank"], r["stone_id"], r["volume_m3"], r["running"]) for r in stats.cumulative_volume(df).collect())
+        assert got == [(1, "stone_000001", 4.0, 4.0), (2, "stone_100000", 1.0, 5.0), (3, "stone_100000", 3.0, 8.0), (4, "stone_100000", 5.0, 13.0), (5, "stone_100001", 2.0, 15.0)]
