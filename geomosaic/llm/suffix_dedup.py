@@ -245,6 +245,15 @@ def _packed(starts: np.ndarray) -> bytes:
 _CONTEXT = ["h", "c", "marks"]
 
 
+def _together(bodies: DataFrame, parts: int) -> DataFrame:
+    """h, c, n, body: all bodies of an anchor (or core) in one task, one after the other.
+
+    Dealt by a hash of h, not by h itself: after a join by h Spark would leave such a shuffle out, and then read the join's own
+    shuffle by map task or in pieces (a join turned into a broadcast, a skewed partition), so that copies would not meet.
+    """
+    return bodies.select("h", "c", "n", "body").repartition(parts, F.xxhash64("h")).sortWithinPartitions("h", "c")
+
+
 def _marked_contexts(bodies: DataFrame) -> DataFrame:
     """h, c, marks for bodies (h, c, n, body) that lie together by h: one index for about BIN_BYTES of whole groups."""
 
@@ -295,7 +304,7 @@ def _compressed(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, c, n, body of the wanted contexts (h, c, n, did, th, ws, wn), cut from their documents."""
+    """h, c, n, body, hot of the wanted contexts (h, c, n, hot, did, th, ws, wn), cut from their documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand, seen = zstandard.ZstdDecompressor(), None
@@ -305,13 +314,13 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if (did, th) == seen:  # a repeated row
                     continue
                 seen, text = (did, th), expand.decompress(z)
-                rows += [(w["h"], w["c"], w["n"], text[w["ws"] : w["ws"] + w["wn"] + LENGTH - 1]) for w in want]
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["h", "c", "n", "body"])
+                rows += [(w["h"], w["c"], w["n"], text[w["ws"] : w["ws"] + w["wn"] + LENGTH - 1], w["hot"]) for w in want]
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()))], ["h", "c", "n", "body", "hot"])
 
-    per = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("h", "c", "n", "ws", "wn")).alias("want"))
+    per = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("h", "c", "n", "hot", "ws", "wn")).alias("want"))
     joined = _compressed(docs).hint("merge").join(per, ["did", "th"])  # sorted, so that repeated rows stand together
-    return common.mapped(joined.select("did", "th", "z", "want"), run, "h long, c long, n int, body binary")
+    return common.mapped(joined.select("did", "th", "z", "want"), run, "h long, c long, n int, body binary, hot boolean")
 
 
 def cores(text: bytes, rows: list[tuple[int, int, int, int]], step: int) -> list[tuple[int, int, int, int, int]]:
@@ -378,7 +387,7 @@ def _marks_of_hot(spark: SparkSession, hot: DataFrame, parts: int) -> DataFrame:
         keys = distinct.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("nd")).where("n > 1")
         keys = session.written(spark, keys.select("h", (F.col("nd") > HOT if at < len(CORES) - 1 else F.lit(False)).alias("again")), "keys")
         cold = distinct.join(keys.where("NOT again"), "h").select("h", "c", F.least("n", F.lit(2)).cast("int").alias("n"), F.explode(F.array_distinct(F.array("one", "two"))).alias("body"))
-        marks = session.written(spark, _marked_contexts(cold.repartition(parts, "h").sortWithinPartitions("h", "c")), "part-marks")
+        marks = session.written(spark, _marked_contexts(_together(cold, parts)), "part-marks")
         found.append(_shifted(cur.join(marks, ["h", "c"])))
         if not keys.where("again").limit(1).count():
             break
@@ -426,12 +435,11 @@ def found_runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # alone under its anchor a context is a repeat of itself or nothing; beside others, one that came once counts as well
     use = distinct.join(keys, "h").where("n > 1 OR several OR mixed")
     each = F.when(F.col("n") < 2, F.array(F.struct("one", F.lit(1).alias("n")))).when(F.col("one") == F.col("two"), F.array(F.struct("one", F.lit(2).alias("n")))).otherwise(F.array(F.struct("one", F.lit(1).alias("n")), F.struct(F.col("two").alias("one"), F.lit(1).alias("n"))))
-    wanted = use.select("h", "c", "wn", F.explode(each).alias("e")).select("h", "c", "wn", "e.n", "e.one.*")
+    wanted = use.select("h", "c", "wn", "hot", F.explode(each).alias("e")).select("h", "c", "wn", "hot", "e.n", "e.one.*")
     bodies = session.written(spark, _contexts(docs, wanted), "bodies")
-    hot = keys.where("hot").select("h")
-    found = _marked_contexts(bodies.join(hot, "h", "left_anti").repartition(parts, "h").sortWithinPartitions("h", "c"))
-    if hot.limit(1).count():
-        found = found.unionByName(_marks_of_hot(spark, bodies.join(hot, "h", "left_semi"), parts))
+    found = _marked_contexts(_together(bodies.where("NOT hot"), parts))
+    if keys.where("hot").limit(1).count():
+        found = found.unionByName(_marks_of_hot(spark, bodies.where("hot"), parts))
     marks = session.written(spark, found.groupBy("h", "c").agg(F.collect_set("marks").alias("marks")), "marks")
     session.discard(spark, anchors, distinct, keys, bodies)
     return cand.join(marks, ["h", "c"]).groupBy("did", "th").agg(F.collect_list(F.struct("ws", "marks")).alias("found"))

@@ -4,8 +4,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
-from geomosaic.llm import suffix_dedup
+from geomosaic import session
+from geomosaic.llm import common, suffix_dedup
 from tests.llm.test_contracts import prose, repeats
 
 
@@ -84,3 +87,28 @@ def test_cores_hold_every_window_once():
             assert wn <= step
             covered[ws : ws + wn] += 1
         assert covered[: len(text) - suffix_dedup.LENGTH + 1].tolist() == [1] * (len(text) - suffix_dedup.LENGTH + 1)
+
+
+def test_bodies_of_an_anchor_meet_in_one_task_after_a_join(spark):
+    """A join by h that turns into a broadcast at run time: its own shuffle is then read by map task."""
+    session.ship(spark)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "2k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    bodies = spark.range(0, 8000, 1, 6).select((F.col("id") % 1000).alias("h"), F.col("id").alias("c"), F.lit(1).alias("n"), F.lit(b"x" * 300).alias("body"))
+    keys = session.written(spark, spark.range(0, 5000, 1, 4).select(F.col("id").alias("h"), (F.col("id") % 1000 == 7).alias("hot")), "keys")
+
+    def anchors(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["h"])
+
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        joined = session.written(spark, bodies, "bodies").join(keys.where("hot").select("h"), "h", "left_anti")
+        seen = common.mapped(suffix_dedup._together(joined, 8), anchors, "h long").select("h", F.spark_partition_id().alias("task"))
+        seen = session.written(spark, seen, "seen")
+        assert seen.count() == 8000 - 5 * 8 + 4 * 8
+        assert seen.groupBy("h").agg(F.countDistinct("task").alias("n")).where("n > 1").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
