@@ -301,6 +301,8 @@ SMALL, SIGMAS = 64, 7.0
 SHARE, COMMON = 12, 4
 #: Pairs that are enumerated at once.
 PAIRS = 1 << 20
+#: Members from which on a group of linked sets counts as dense, and elements of its sets that a task holds at once.
+DENSE, BLOCK_ELEMENTS = 64, 1 << 18
 
 
 def wide_radius(similarity: float, bits: int = BITS * WIDE, sigmas: float = 1.0) -> int:
@@ -496,8 +498,10 @@ def _few(tok: np.ndarray) -> np.ndarray:
 
 
 def _pairs(tok: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, similarity: float, single: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """src, dst, sizes of both, and how many elements ``tok`` they have in common, for nodes of different roots whose sizes
-    allow the similarity. ``single``: under each element (of ``_few``) one node of each root (another for each element), paired with
+    """src, dst, whether these are dense groups (1: src, 2: dst), how many elements ``tok`` they must have in common (among
+    prefixes) and have, for nodes of different roots whose sizes allow the similarity. A negative size marks an element of a dense
+    group, named by its root: its members' elements count as one set's, and what is asked for is the least of any member.
+    ``single``: under each element (of ``_few``) one node of each root (another for each element), paired with
     the next root's in an order that changes from element to element; so no more pairs than elements."""
     if single:
         by = np.lexsort((common.mix(node.view(np.uint64) ^ tok), common.mix(root.view(np.uint64) ^ common.mix(tok)), tok))
@@ -506,33 +510,44 @@ def _pairs(tok: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, s
         tok, node, n = tok[first], node[first], n[first]
         i = np.flatnonzero(tok[1:] == tok[:-1])
         i = i[np.minimum(n[i], n[i + 1]) >= similarity * np.maximum(n[i], n[i + 1]) - 1e-9]
-        yield np.minimum(node[i], node[i + 1]), np.maximum(node[i], node[i + 1]), n[i], n[i + 1], np.ones(len(i), np.int64)
+        none = np.zeros(len(i), np.int64)
+        yield np.minimum(node[i], node[i + 1]), np.maximum(node[i], node[i + 1]), none, none, none + 1
         return
-    by = np.lexsort((node, root, tok))
+    by = np.lexsort((n, node, root, tok))
     tok, node, root, n = tok[by], node[by], root[by], n[by]
-    fresh = np.concatenate([[True], (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])])  # exact copies came several times
+    # exact copies came several times, as did members of equal size
+    fresh = np.concatenate([[True], (tok[1:] != tok[:-1]) | (node[1:] != node[:-1]) | (n[1:] != n[:-1])])
     tok, node, root, n = tok[fresh], node[fresh], root[fresh], n[fresh]
+    dense, n = (n < 0).astype(np.int64), np.abs(n)
     last = np.searchsorted(tok, tok, side="right")
     run = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (root[1:] != root[:-1])]))
     after = np.repeat(np.append(run[1:], len(tok)), np.diff(np.append(run, len(tok))))  # rows of its own root are linked already
     count = last - after
     ends = np.cumsum(count)
+    rest = n - prefix_size(n, similarity)
     cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, int(ends[-1]), PAIRS), side="left"), len(tok)))
     for a, b in zip(cuts, cuts[1:]):
         i = np.repeat(np.arange(a, b), count[a:b])
         j = after[i] + np.arange(len(i)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b])
         fit = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
         i, j = i[fit], j[fit]
+        if not len(i):
+            continue
         swap = node[i] > node[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        by = np.lexsort((node[j], node[i]))
+        by = np.lexsort((tok[i], node[j], node[i]))
         i, j = i[by], j[by]
-        edge = np.flatnonzero(np.concatenate([[True], (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1])])) if len(i) else np.zeros(0, np.int64)
-        yield node[i][edge], node[j][edge], n[i][edge], n[j][edge], np.diff(np.append(edge, len(i)))
+        new = np.concatenate([[True], (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1])])
+        edge, another = np.flatnonzero(new), new.copy()
+        another[1:] |= tok[i][1:] != tok[i][:-1]
+        need = least_overlap(n[i], n[j], similarity) - np.maximum(rest[i], rest[j])
+        yield node[i][edge], node[j][edge], (dense[i] + 2 * dense[j])[edge], np.minimum.reduceat(need, edge), np.add.reduceat(another.astype(np.int64), edge)
 
 
 def candidates(spark: SparkSession, sets: DataFrame, similarity: float, often: np.ndarray, total: int, single: bool = False) -> DataFrame:
-    """src, dst: every pair of nodes with different ``root`` that can have the similarity (and others that share enough).
+    """src, dst, kind: every pair of nodes with different ``root`` that can have the similarity (and others that share enough).
+    Nodes whose root is ``dense`` are named by it: one row stands for all pairs with its members, so that a large group makes
+    as many rows as it has neighbours, not as many as pairs (kind 1: src is such a group, 2: dst is, 3: both are).
     ``single``: only some pairs of one node of each root, whatever they share; links among these join groups, so that fewer
     pairs are left for the whole enumeration.
 
@@ -547,6 +562,7 @@ def candidates(spark: SparkSession, sets: DataFrame, similarity: float, often: n
         for b in common.chunks(batches, 8 << 20, "hashes"):
             n = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             h = unpacked48(b"".join(b.column(3).to_pylist()))
+            dense = b.column(4).to_numpy(zero_copy_only=False).astype(bool)
             own = np.repeat(np.arange(len(n)), n)
             bit = _bit(h, 8 * len(often))
             late = (often[bit >> 3] >> (bit & 7)) & 1
@@ -561,6 +577,7 @@ def candidates(spark: SparkSession, sets: DataFrame, similarity: float, often: n
             by = np.argsort(to, kind="stable")
             tok, own, to = tok[by], own[by], to[by]
             node, root = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
+            node, size = np.where(dense, root, node), np.where(dense, -n, n).astype(np.int32)
             alone = (node == root)[own]
             for some in (alone, ~alone):  # a root that is the node itself stays at home
                 if not some.any():
@@ -568,7 +585,7 @@ def candidates(spark: SparkSession, sets: DataFrame, similarity: float, often: n
                 at, who = to[some], own[some]
                 begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])).tolist()
                 cut = list(zip(begin, [*begin[1:], len(at)]))
-                cols = [[x[p:q].tobytes() for p, q in cut] for x in (tok[some], node[who], n[who].astype(np.int32))]
+                cols = [[x[p:q].tobytes() for p, q in cut] for x in (tok[some], node[who], size[who])]
                 roots = [b""] * len(cut) if some is alone else [root[who[p:q]].tobytes() for p, q in cut]
                 yield pa.RecordBatch.from_arrays([pa.array(at[begin], pa.int64()), *[pa.array(x, pa.binary()) for x in (*cols[:2], roots, cols[2])]], ["slice", "tok", "node", "root", "n"])
 
@@ -579,7 +596,7 @@ def candidates(spark: SparkSession, sets: DataFrame, similarity: float, often: n
             some = often[where] > 1
             if some.any():
                 for found in _pairs(tok[some], node[some], root[some], n[some].astype(np.int64), similarity, single):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["src", "dst", "n", "m", "shared"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["src", "dst", "kind", "need", "shared"])
 
         current, held = None, []
         for b in batches:
@@ -593,14 +610,62 @@ def candidates(spark: SparkSession, sets: DataFrame, similarity: float, often: n
         if held:
             yield from done(held)
 
-    dealt = common.mapped(sets.select("node", "n", "root", "hashes"), deal, "slice long, tok binary, node binary, root binary, n binary")
-    found = common.mapped(dealt.repartition(parts, "slice").sortWithinPartitions("slice"), match, "src long, dst long, n long, m long, shared long")
+    dealt = common.mapped(sets.select("node", "n", "root", "hashes", "dense"), deal, "slice long, tok binary, node binary, root binary, n binary")
+    found = common.mapped(dealt.repartition(parts, "slice").sortWithinPartitions("slice"), match, "src long, dst long, kind long, need long, shared long")
     if single:
-        return found.select("src", "dst").distinct()
-    found = found.groupBy("src", "dst").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("shared").alias("shared"))
-    rest = lambda c: F.ceil(similarity * F.col(c) - F.lit(1e-9)) - 1  # noqa: E731  elements behind the prefix
-    need = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("m")) - F.lit(1e-9))
-    return found.where(F.col("shared") + F.greatest(rest("n"), rest("m")) >= need).select("src", "dst")
+        return found.select("src", "dst", "kind").distinct()
+    found = found.groupBy("src", "dst").agg(F.max("kind").alias("kind"), F.min("need").alias("need"), F.sum("shared").alias("shared"))
+    return found.where("shared >= need").select("src", "dst", "kind")
+
+
+def attached(spark: SparkSession, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """src, dst: links of at least the similarity between nodes and dense groups (or two of these) that ``pairs`` (src, dst, kind)
+    name; one for each node and block of the group's members if there is any, since these are linked with each other.
+
+    A group's sets are dealt to blocks of about BLOCK_ELEMENTS elements; each node visits all of them, so sets travel once a block
+    and no row stands for a pair. Overlaps with all members are counted from the block's sorted elements.
+    """
+    once = sets.dropDuplicates(["node"])
+    members = session.written(spark, once.where("dense").select("root", "node", "n", "hashes"), "members")
+    cuts = session.written(spark, members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("cuts")), "cuts")
+    single = pairs.where("kind < 3").select(F.when(F.col("kind") == 1, F.col("dst")).otherwise(F.col("src")).alias("node"), F.when(F.col("kind") == 1, F.col("src")).otherwise(F.col("dst")).alias("root"))
+    both = pairs.where("kind = 3").join(members.select(F.col("root").alias("src"), "node"), "src").select("node", F.col("dst").alias("root"))
+    visits = session.written(spark, single.unionByName(both), "visits")
+    ends = session.written(spark, visits.select("node").distinct(), "end-nodes")
+    passes = sieve(ends, ends.count())
+    some = once.select("node", "hashes").where(passes("node"))
+    cut = F.pmod(F.xxhash64("node"), F.col("cuts").cast("long")).cast("int")
+    at_home = members.join(cuts, "root").select("root", cut.alias("cut"), F.lit(False).alias("late"), "node", "hashes")
+    guests = visits.join(cuts, "root").select("root", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "node").join(some, "node").select("root", "cut", F.lit(True).alias("late"), "node", "hashes")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, block = None, [], None
+        for b in batches:
+            found = []
+            for root, cut, late, node, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if (root, cut) != key:
+                    key, held, block = (root, cut), [], None
+                own = unpacked48(raw)
+                if not late:
+                    held.append((node, own))
+                    continue
+                if block is None:
+                    size = np.array([len(x) for _, x in held], np.int64)
+                    tok = np.concatenate([np.zeros(0, np.uint64), *[x for _, x in held]])
+                    by = np.argsort(tok, kind="stable")
+                    block = tok[by], np.repeat(np.arange(len(held)), size)[by], size
+                tok, owner, size = block
+                begin, end = np.searchsorted(tok, own, side="left"), np.searchsorted(tok, own, side="right")
+                many = end - begin
+                at = np.repeat(end - np.cumsum(many), many) + np.arange(int(many.sum()))
+                shared = np.bincount(owner[at], minlength=len(held))
+                alike = np.flatnonzero(shared >= least_overlap(np.int64(len(own)), size, similarity))
+                if len(alike):
+                    found.append((node, held[alike[0]][0]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], ["src", "dst"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return common.mapped(at_home.unionByName(guests).repartition(parts, "root", "cut").sortWithinPartitions("root", "cut", "late"), run, "src long, dst long")
 
 
 def copies(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -609,7 +674,8 @@ def copies(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: flo
 
     Groups are the components of all links of at least the similarity. Texts without words are copies of each other. Wide
     fingerprints that agree on any block of bits give links early, then pairs of one member of each group do; every link is
-    decided by the sets' elements, and the prefix filter brings every pair that is not connected yet.
+    decided by the sets' elements, and the prefix filter brings every pair that is not connected yet. Pairs with a member of a
+    dense group aren't enumerated: the other set is compared with all members at once (``attached``).
     """
     sets = session.written(spark, shingle_sets(docs, words), "sets")
     full = sets.where("n > 0")
@@ -623,10 +689,15 @@ def copies(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: flo
     often, done = _common(full, total), [near]
     for single in (True, False):
         roots = session.written(spark, connected_components(spark, links), "roots")
-        rooted = full.join(roots, "node", "left").select("node", "n", F.coalesce("component", "node").alias("root"), "hashes")
+        large = roots.groupBy("component").agg((F.count("*") >= DENSE).alias("dense"))
+        named = roots.withColumn("dense", F.lit(False)) if single else roots.join(large, "component")
+        rooted = full.join(named, "node", "left").select("node", "n", F.coalesce("component", "node").alias("root"), "hashes", F.coalesce("dense", F.lit(False)).alias("dense"))
         others = session.written(spark, candidates(spark, rooted, similarity, often, total, single), "candidates")
-        within = session.written(spark, in_reach(spark, others, distinct, similarity), "in-reach")
-        more = session.written(spark, links.union(alike(spark, within, full, similarity)), "links")
+        within = session.written(spark, in_reach(spark, others.where("kind = 0"), distinct, similarity), "in-reach")
+        more = links.union(alike(spark, within, full, similarity))
+        if others.where("kind > 0").limit(1).count():
+            more = more.union(attached(spark, others.where("kind > 0"), rooted, similarity))
+        more = session.written(spark, more, "links")
         done += [roots, others, within, links]
         links = more
     groups = connected_components(spark, links)

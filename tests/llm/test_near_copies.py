@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from geomosaic import session
 from geomosaic.llm import simhash
 from tests.llm.test_pipeline import shingles
 
@@ -81,3 +82,36 @@ def test_a_sieve_passes_every_key_and_few_others(spark):
     left = {r["id"] for r in spark.range(40_000).where(passes(F.xxhash64("id"))).collect()}
     assert left >= set(range(0, 40_000, 4)) and len(left) < 13_000
     assert not spark.range(9).where(simhash.sieve(keys.where("false"), 0)(F.xxhash64("id"))).count()
+
+
+def test_a_large_group_makes_no_pair_of_each_neighbour_and_member(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(154)]
+
+    def changed(places):
+        w = list(base)
+        for i in places:
+            w[i] = f"w{rng.randrange(10**9)}"
+        return " ".join(w)
+
+    members = [changed([rng.randrange(60, 150)]) for _ in range(300)]  # 0.87 or more with each other
+    near = [changed([rng.randrange(5, 20), rng.randrange(30, 45), rng.randrange(70, 140)]) for _ in range(40)]  # 0.8 with few members
+    far = [changed([rng.randrange(5, 15), rng.randrange(22, 32), rng.randrange(40, 50)]) for _ in range(80)]  # just below it with all
+    docs = spark.createDataFrame(list(enumerate(members + near + far)), "doc_id long, text string")
+    rows, written = [], session.written
+
+    def counted(spark, df, name):
+        out = written(spark, df, name)
+        rows.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(session, "written", counted)
+    got = {r["doc_id"] for r in simhash.deduplicated(spark, docs).collect()}
+    sets = [shingles(t) for t in members + near + far]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if x == root[i] else x for x in root]
+    assert got == {root.index(r) for r in set(root)} and 60 < len(got) < 100
+    assert max(n for name, n in rows if name in ("candidates", "in-reach")) < 4000, rows
