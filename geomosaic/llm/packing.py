@@ -38,13 +38,46 @@ SENTENCE_CUT, HARD_CUT = 16, 64
 LEAST_POWER = 512
 #: Ids that are packed at once.
 BLOCK = 1 << 20
-#: Entries of each of a worker's two caches (about 200 bytes each); beyond it a cache starts anew.
-CACHE_ENTRIES = 120_000
+#: Entries of a worker's cache (about 200 bytes each); beyond it the half that was used most stays.
+CACHE_ENTRIES = 240_000
 
-#: Latin words with what may follow them. Their letters are precomposed, so that normalisation only lower-cases them.
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Words of lower-case Latin letters (in UTF-8). Their letters are precomposed, so that normalisation leaves them as they are.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: What a sentence's last word ends with.
-_STOPS = frozenset(".!?")
+_STOPS = frozenset((b".", b"!", b"?"))
+#: Of bytes: whether they are ASCII letters or marks, and what A-Z become.
+_LETTER, _MARK = (np.array([32 < i < 127 and chr(i).isalnum() is x and not chr(i).isdigit() for i in range(256)]) for x in (True, False))
+_LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+
+
+def split(texts: list[str], lower: bool) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of all texts in a row (UTF-8), where each text's parts end, which parts a line ends with, and which stand directly
+    behind the part before. Texts are parted at blanks and line feeds (white space that is doubled or stands at an end parts
+    empty strings), and between a Latin letter and an ASCII mark, where no pre-tokeniser's piece goes on.
+
+    ``lower``: A-Z and the capitals of Latin-1 become small, unless a code point from U+0300 on follows, which may combine with them.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b" ".join(raw), np.uint8)
+    after = np.append(data[1:], np.uint8(0))
+    latin = np.concatenate([[False], data[:-1] == 0xC3])[: len(data)] & (data != 0x97) & (data != 0xB7)  # second bytes
+    marks = np.flatnonzero((_LETTER[data] | latin) & _MARK[after]) + 1
+    line = data == 10
+    low = data
+    if lower:
+        low = _LOWER[data]
+        low[latin & (data < 0x9F)] += np.uint8(32)
+        low = np.where(after >= 0xCC, data, low)
+    flat = np.insert(np.where(line, np.uint8(32), low), marks, 32)
+    blanks = np.flatnonzero(flat == 32)
+    part_at = lambda place: np.searchsorted(blanks, place + np.searchsorted(marks, place, side="right"))  # noqa: E731  that ends there
+    parts = flat.tobytes().split(b" ")
+    last = np.append(part_at(np.cumsum([len(r) + 1 for r in raw[:-1]], dtype=np.int64) - 1) + 1, len(parts)).astype(np.int64)
+    stop, joined = np.zeros(len(parts), bool), np.zeros(len(parts), bool)
+    stop[part_at(np.flatnonzero(line))] = True
+    stop[last - 1] = True
+    joined[part_at(marks - 1) + 1] = True
+    return parts, last, stop, joined
 
 
 def _gathered(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -54,15 +87,15 @@ def _gathered(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarr
 
 
 class _Pool:
-    """Ids by string. Strings have numbers; a number's ids are ``pool[begin:begin + size]``, and ``stop`` says that it may end a
-    sentence. Number 0 is the empty string."""
+    """Ids by part. Parts have numbers; a number's ids are ``pool[begin:begin + size]``, and ``stop`` says that it may end a
+    sentence. Number 0 is the empty part."""
 
     def __init__(self):
-        self.number: dict[str, int] = {"": 0}
+        self.number: dict[bytes, int] = {b"": 0}
         self.pool, self.begin, self.size = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.used, self.stop = np.zeros(1, np.int64), np.zeros(1, bool)
 
-    def add(self, names: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+    def add(self, names: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
         self.number.update(zip(names, range(len(self.size), len(self.size) + len(names))))
         self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
@@ -86,10 +119,10 @@ class _Pool:
 
 
 class WordIds:
-    """Ids of texts, by a cache over what blanks and line feeds part.
+    """Ids of texts, by a cache over their parts (``split``).
 
-    The vocabulary drops white space and no merge crosses it, so a text's ids are those of its parts in a row. Unseen parts go
-    to the tokenizer in one batch; a plain word and the marks behind it are tokenised (and kept) apart.
+    The vocabulary drops white space and no merge crosses it, nor a word's end, so a text's ids are those of its parts in a row.
+    Unseen parts go to the tokenizer in batches.
     """
 
     def __init__(self, path: str):
@@ -97,7 +130,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.parts, self.words = _Pool(), _Pool()
+        self.parts = _Pool()
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
@@ -107,50 +140,40 @@ class WordIds:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(found), "<u4"), np.array([*map(len, found)], np.int64)
 
-    def _learn(self, unseen: list[str]) -> None:
-        plain, odd, need = [], [], set()
-        for p in unseen:
-            if m := _PLAIN.fullmatch(p.lower()):
-                plain.append((p, m[1], m[2]))
-                need.update(m.groups())
-            else:
-                odd.append(p)
-        need.difference_update(self.words.number)
-        letters, marks = [w for w in need if w[0].isalpha()], [w for w in need if not w[0].isalpha()]
-        self.words.add(marks, *self._tokenise(marks))
-        for i in range(0, len(letters), 1000):  # many words to a text: each ends with its only word-end token
-            some = letters[i : i + 1000]
-            ids, _ = self._tokenise([" ".join(some)])
+    def tokenise(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """All ids in a row, how many belong to each part, and the parts in that order: plain words last."""
+        plain, odd = [], []
+        for p in parts:
+            (plain if _PLAIN.fullmatch(p) else odd).append(p)
+        ids, size = self._tokenise([p.decode("utf-8", "surrogatepass") for p in odd])
+        all_ids, all_sizes = [ids], [size]
+        for i in range(0, len(plain), 1000):  # many words to a text: each ends with its only word-end token
+            some = plain[i : i + 1000]
+            ids, _ = self._tokenise([b" ".join(some).decode()])
             size = np.diff(np.flatnonzero(self.ends_word[ids]) + 1, prepend=0)
             if len(size) != len(some):
                 raise ValueError("a word without an end, or with several")
-            self.words.add(some, ids, size)
-        ids, size = self._tokenise(odd)
-        self.parts.add(odd, ids, size)
-        number = self.words.number
-        both = np.array([(number[w], number[m]) for _, w, m in plain], np.int64).reshape(-1, 2)
-        self.parts.add([p for p, _, _ in plain], self.words.take(both.ravel()), self.words.size[both].sum(axis=1))
+            all_ids.append(ids)
+            all_sizes.append(size)
+        return np.concatenate(all_ids), np.concatenate(all_sizes), odd + plain
 
     def ids(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
         """Each text's ids (little-endian unsigned 32-bit), and after how many of them a sentence or line ends."""
-        self.parts, self.words = self.parts.shrunk(CACHE_ENTRIES), self.words.shrunk(CACHE_ENTRIES)
-        lines = [t.split("\n") for t in texts]
-        rows = [x.split(" ") for t in lines for x in t]
-        parts, count = list(chain.from_iterable(rows)), np.fromiter(map(len, rows), np.int64, len(rows))
+        if not texts:
+            return []
+        self.parts = self.parts.shrunk(CACHE_ENTRIES)
+        parts, last, stop, _ = split(texts, lower=True)
         known = self.parts.number
         number = np.fromiter(map(known.get, parts, repeat(-1)), np.int64, len(parts))
         missing = np.flatnonzero(number < 0)
         if len(missing):
             unseen = [parts[i] for i in missing.tolist()]
-            self._learn(list(dict.fromkeys(unseen)))
+            ids, size, names = self.tokenise(list(dict.fromkeys(unseen)))
+            self.parts.add(names, ids, size)
             number[missing] = np.fromiter(map(known.__getitem__, unseen), np.int64, len(unseen))
         flat, upto = self.parts.take(number), np.cumsum(self.parts.size[number])
-        stop = self.parts.stop[number]
-        stop[np.cumsum(count) - 1] = True  # a line's end
-        lines_upto = np.cumsum([len(t) for t in lines])
-        last = np.cumsum(count)[lines_upto - 1]  # parts up to each text's end; every text has one at least
         edge = np.concatenate([[0], upto[last - 1]])
-        at = np.flatnonzero(stop)
+        at = np.flatnonzero(stop | self.parts.stop[number])
         of, ends = np.searchsorted(last, at, side="right"), upto[at]
         new = np.ones(len(at), bool)
         new[1:] = (of[1:] != of[:-1]) | (ends[1:] != ends[:-1])

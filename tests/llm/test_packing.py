@@ -60,3 +60,25 @@ def test_the_cache_may_forget(monkeypatch):
         for t, (i, ends) in zip(texts, got):
             assert len(ends) == 0 or ends[-1] <= len(i) // 4
         assert len(own.parts.size) < 60 + 200
+
+
+def test_a_word_is_learnt_once_whatever_its_case_and_marks():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, tok = packing.WordIds(path), Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    text = "Élan, élan. ÉLAN!\nélan élan," + " Élan"
+    got = own.ids([text])
+    assert np.frombuffer(got[0][0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert len(own.parts.size) == 5  # the empty part, the word and three marks
+
+
+def test_parts_give_the_tokenizers_ids():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, tok = packing.WordIds(path), Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    rng = random.Random(6)
+    some = ["a", "Z", "É", "é", "ß", "×", "'", "s", "'re", "H\u0331", "K\u0301", "É\u0301", "1", "日", "\u0301", "\u212a", "İ", " ", "\n", "\t", "\u00a0", ".", ",", "!?", "_", "<|endoftext|>"]
+    for _ in range(40):
+        texts = ["".join(rng.choice(some) for _ in range(rng.randrange(25))) for _ in range(100)]
+        want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(i, "<u4").tolist() for i, _ in own.ids(texts)] == want
