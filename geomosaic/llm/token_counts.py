@@ -24,7 +24,10 @@ import json
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +39,9 @@ from geomosaic.llm import byte_bpe, common, packing
 KEYS = ["source", "lang", "tokenizer_version"]
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
+#: Parts of which a worker keeps the counts (about 150 bytes each); beyond it the half that was used most stays.
+COUNT_ENTRIES = 500_000
+
 #: Word characters' runs between ASCII white space, and that white space.
 _WORD, _SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 
@@ -184,28 +190,143 @@ def natively(docs: DataFrame) -> DataFrame:
     return src.select("source", "lang", (F.col("clean") == "").alias("emptied"), per.alias("x")).select("source", "lang", "x.*", "emptied")
 
 
+class PartCounts:
+    """Token counts of texts by a byte-level and a word-level vocabulary, as sums over their parts (``packing.split``).
+
+    A part's byte-level count depends only on whether a blank stands directly before it, which then belongs to its first piece.
+    Other white space is in pieces of its own: of a run before a part all but the last character, and this unless it is a
+    blank; at a text's end the whole run. So cleaning white space only changes which parts have a blank and which runs remain
+    (none), and one look at a text's parts gives its counts before and after. Texts with white space other than blanks and line
+    feeds are encoded whole.
+    """
+
+    _ODD = re.compile("[" + "".join(map(chr, sorted(set(byte_bpe.WHITE_SPACE) - {10, 32}))) + "]")
+    _RUNS = re.compile(_SPACE)
+
+    def __init__(self, byte_path: str, word_path: str):
+        self.large, self.small = byte_bpe.encoder(byte_path), packing.word_ids(word_path)
+        self.number: dict[bytes, int] = {b"": 0}
+        self.bytes = np.zeros((2, 1), np.int32)  # without and with a blank before; -1: not counted yet
+        self.words, self.used = np.zeros(1, np.int32), np.zeros(1, np.int64)
+        self.runs: dict[bytes, int] = {}
+
+    def _byte_counts(self, parts: list[str]) -> np.ndarray:
+        joined, starts, ends = byte_bpe.pretokenise(parts)
+        cut, merge = starts.tolist(), self.large.merge
+        slots = np.searchsorted(starts, ends)  # each part's slot is a piece of its own
+        size, real = np.zeros(len(cut), np.int64), np.ones(len(cut), bool)
+        real[slots] = False
+        size[real] = [len(merge(joined[cut[i] : cut[i + 1]].encode("utf-8", "surrogatepass"))) for i in np.flatnonzero(real).tolist()]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return upto[slots] - upto[np.concatenate([[0], slots[:-1] + 1])]
+
+    def _learn(self, unseen: list[bytes]) -> None:
+        small = {p: p.lower() if p.isascii() or max(p) < 0xCC else p for p in unseen}  # else a capital may combine with what follows
+        _, size, names = self.small.tokenise(list(dict.fromkeys(small.values())))
+        count = dict(zip(names, size.tolist()))
+        self.number.update(zip(unseen, range(len(self.words), len(self.words) + len(unseen))))
+        self.words = np.append(self.words, np.array([count[small[p]] for p in unseen], np.int32))
+        self.bytes = np.append(self.bytes, np.full((2, len(unseen)), -1, np.int32), axis=1)
+        self.used = np.append(self.used, np.zeros(len(unseen), np.int64))
+
+    def _shrink(self) -> None:
+        if len(self.words) > COUNT_ENTRIES:
+            best = np.concatenate([[0], np.sort(np.argsort(-self.used[1:], kind="stable")[: COUNT_ENTRIES // 2]) + 1])
+            names = list(self.number)  # in the order of their numbers
+            self.number = {names[i]: n for n, i in enumerate(best.tolist())}
+            self.bytes, self.words, self.used = self.bytes[:, best], self.words[best], self.used[best] // 2
+        if len(self.runs) > COUNT_ENTRIES // 10:
+            self.runs.clear()
+
+    def _run_counts(self, runs: list[bytes]) -> list[int]:
+        new = list(set(runs).difference(self.runs))
+        if new:
+            self.runs.update(zip(new, self._byte_counts([r.decode() for r in new]).tolist()))
+        return [self.runs[r] for r in runs]
+
+    def _in_bytes(self, number: np.ndarray, blank: np.ndarray, parts: list[bytes]) -> np.ndarray:
+        out = self.bytes[blank, number]
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            _, first = np.unique(2 * number[new] + blank[new], return_index=True)
+            for b in (0, 1):
+                some = [i for i in new[first].tolist() if blank[i] == b]
+                if some:
+                    self.bytes[b, number[some]] = self._byte_counts([" " * b + parts[i].decode("utf-8", "surrogatepass") for i in some])
+            out = self.bytes[blank, number]
+        return out.astype(np.int64)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's byte-level count, that after cleaning, its word-level count (the same after cleaning), and whether nothing
+        is left by cleaning."""
+        out = np.zeros((4, len(texts)), np.int64)
+        odd = [i for i, t in enumerate(texts) if self._ODD.search(t)]
+        for i in odd:
+            clean = self._RUNS.sub(" ", texts[i]).strip(" ")
+            before, after = self.large.encode([texts[i], clean])
+            out[:, i] = len(before) // 4, len(after) // 4, len(self.small.ids([texts[i]])[0][0]) // 4, not clean
+        plain = np.setdiff1d(np.arange(len(texts)), odd)
+        if len(plain):
+            out[:, plain] = self._of_plain([texts[i] for i in plain.tolist()])
+        return out[0], out[1], out[2], out[3].astype(bool)
+
+    def _of_plain(self, texts: list[str]) -> np.ndarray:
+        self._shrink()
+        parts, last, stop, joined = packing.split(texts, lower=False)
+        number = np.fromiter(map(self.number.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            unseen = [parts[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(unseen)))
+            number[missing] = np.fromiter(map(self.number.__getitem__, unseen), np.int64, len(unseen))
+        self.used += np.bincount(number, minlength=len(self.used))
+        first, solid = np.concatenate([[0], last[:-1]]), number > 0
+        starts = np.zeros(len(parts), bool)
+        starts[first] = True
+        feed = np.concatenate([[False], stop[:-1]]) & ~starts  # a line feed stands before
+        blank = ~(starts | joined | feed)
+        # where the white space before a part begins: behind the last part that isn't empty, or at the text's begin
+        anchor = np.maximum.accumulate(np.where(solid | starts, np.arange(len(parts)), 0))
+        before = np.concatenate([[0], anchor[:-1]])
+        raw = np.where(solid, self._in_bytes(number, (blank & solid).astype(np.int64), parts), 0)
+        at = np.flatnonzero(solid & feed)
+        if len(at):
+            raw[at] += self._run_counts([b"\n"])[0]
+        char = np.where(feed, np.uint8(10), np.uint8(32)).tobytes()
+        at = np.flatnonzero(solid & ~starts & (np.arange(len(parts)) - before > 1))
+        raw[at] += np.array(self._run_counts([char[p + 1 : q] for p, q in zip(before[at].tolist(), at.tolist())]), np.int64)
+        at = last - 1
+        at = at[anchor[at] < at]
+        raw[at] += np.array(self._run_counts([char[p + 1 : q + 1] for p, q in zip(anchor[at].tolist(), at.tolist())]), np.int64)
+        upto = np.concatenate([[0], np.cumsum(solid)])
+        filled = upto[last] > upto[first]
+        leading = np.searchsorted(upto, upto[first[filled]], side="right") - 1  # each text's first part that isn't empty
+        spaced = solid & ~joined
+        spaced[leading] = False
+        clean = np.where(solid, self._in_bytes(number, spaced.astype(np.int64), parts), 0)
+        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (raw, clean, self.words[number].astype(np.int64))]
+        return np.stack([*(x[last] - x[first] for x in sums), (~filled).astype(np.int64)])
+
+
+@lru_cache(2)
+def part_counts(byte_path: str, word_path: str) -> PartCounts:
+    """One for each worker, so that its counts live on from task to task."""
+    return PartCounts(byte_path, word_path)
+
+
 def by_vocabularies(byte_path: str, word_path: str, versions: tuple[str, str] = ("byte_bpe_multi_50k", "word_bpe_49k")) -> Callable[[DataFrame], DataFrame]:
     """Like ``natively``, with counts of a byte-level and a word-level vocabulary's tokens, over whole texts. The word-level one
     drops white space, so cleaning leaves its counts as they are."""
 
     def counted(docs: DataFrame) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            small, large = packing.word_ids(word_path), byte_bpe.encoder(byte_path)
-            for b in common.chunks(batches, 2 << 20, "raw"):
-                raw, clean = b.column(2).to_pylist(), b.column(3).to_pylist()
-                changed = [i for i, (x, y) in enumerate(zip(raw, clean)) if x != y]
-                n = [len(x) // 4 for x in large.encode(raw)]
-                new = list(n)
-                if changed:
-                    for i, x in zip(changed, large.encode([clean[i] for i in changed])):
-                        new[i] = len(x) // 4
-                words = [len(x) // 4 for x, _ in small.ids(raw)]
-                emptied = [not y for y in clean]
+            counts = part_counts(byte_path, word_path)
+            for b in common.chunks(batches, 1 << 20, "raw"):
+                n, new, words, emptied = counts.of(b.column(2).to_pylist())
                 for version, was, now in zip(versions, (n, words), (new, words)):
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([version] * len(raw)), pa.array(was, pa.int64()), pa.array(now, pa.int64()), pa.array(emptied, pa.bool_())], ["source", "lang", "tokenizer_version", "n_tokens", "new_n_tokens", "emptied"])
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([version] * b.num_rows), pa.array(was), pa.array(now), pa.array(emptied)], ["source", "lang", "tokenizer_version", "n_tokens", "new_n_tokens", "emptied"])
 
-        text = F.coalesce(F.col("text"), F.lit(""))
-        src = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.alias("raw"), _cleaned(text).alias("clean"))
+        src = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("raw"))
         return common.mapped(src, run, "source string, lang string, tokenizer_version string, n_tokens long, new_n_tokens long, emptied boolean")
 
     return counted

@@ -1,6 +1,7 @@
 """Token counts: rows beside DuckDB and the tokenizers; commits under replays, races and broken compactions."""
 
 import base64
+import random
 import re
 from collections import Counter
 
@@ -11,8 +12,8 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from geomosaic import session
+from geomosaic.llm import byte_bpe, packing, token_counts
 from geomosaic.llm import queries as q
-from geomosaic.llm import token_counts
 from tests.llm.test_contracts import duck, fixture, put, run
 
 SQL = r"""
@@ -132,3 +133,25 @@ def test_bad_operations_and_names_are_errors(spark, rollup):
     rollup._create("", "open", "dead")
     with pytest.raises(RuntimeError):
         rollup.totals()
+
+
+def test_parts_give_the_counts_of_whole_texts(monkeypatch):
+    byte_path, word_path = p.path("byte_bpe_multi_50k.tiktoken"), p.path("word_bpe_49k.json")
+    own, large, small = token_counts.PartCounts(byte_path, word_path), byte_bpe.Encoder(byte_path), packing.WordIds(word_path)
+    rng = random.Random(7)
+    some = ["a", "Z", "é", "É,", "'", "s", "'ll", "don't", "1", "日", "\u0301", " ", " ", "\n", "\n", "\t", "\u3000", ".", "!?", "_"]
+    monkeypatch.setattr(token_counts, "COUNT_ENTRIES", 150)
+    for _ in range(40):
+        texts = ["".join(rng.choice(some) for _ in range(rng.randrange(20))) for _ in range(100)] + ["", " ", "\n\n", " a\n"]
+        clean = [re.sub(r"[\x20\x09-\x0D]+", " ", t).strip(" ") for t in texts]
+        want = [len(x) // 4 for x in large.encode(texts)], [len(x) // 4 for x in large.encode(clean)], [len(i) // 4 for i, _ in small.ids(texts)], [not c for c in clean]
+        assert [x.tolist() for x in own.of(texts)] == list(want)
+
+
+def test_a_part_is_merged_once(monkeypatch):
+    own = token_counts.PartCounts(p.path("byte_bpe_multi_50k.tiktoken"), p.path("word_bpe_49k.json"))
+    seen, merge = [], own.large.merge
+    monkeypatch.setattr(own.large, "merge", lambda piece: seen.append(piece) or merge(piece))
+    for _ in range(3):
+        own.of(["some words,\nsome words. some\n\nwords"])
+    assert len(seen) == len(set(seen))
