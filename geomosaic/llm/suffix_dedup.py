@@ -422,11 +422,12 @@ def found_runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     common.small_batches(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    runs = _runs(docs)
+    runs = session.written(spark, _runs(docs), "all-runs")  # texts are scanned once
     counts = runs.groupBy("h").agg(F.sum(F.when(F.col("several"), 2).otherwise(1)).alias("n"))
     anchors = session.written(spark, counts.where("n > 1").select("h"), "anchors")
     cand = runs.join(anchors, "h", "left_semi").groupBy("h", "c", "wn", "did", "th", "ws", "several").agg(F.count("*").alias("k"))
     cand = session.written(spark, cand, "runs")
+    session.discard(spark, runs)
     place = F.struct("did", "th", "ws")
     distinct = cand.groupBy("h", "c", "wn").agg(F.sum("k").alias("n"), F.max("several").alias("several"), F.min(place).alias("one"), F.max(place).alias("two"))
     distinct = session.written(spark, distinct, "contexts")

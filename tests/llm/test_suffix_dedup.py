@@ -112,3 +112,22 @@ def test_bodies_of_an_anchor_meet_in_one_task_after_a_join(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_texts_are_scanned_once(spark, monkeypatch):
+    runs, seen = suffix_dedup._runs, spark.sparkContext.accumulator(0)
+
+    def counted(docs):
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        df = runs(docs)
+        return df.mapInArrow(run, df.schema)
+
+    docs = spark.createDataFrame([(i, f"{i} " + "the same words in every text, " * 10) for i in range(20)], "doc_id long, text string")
+    once = runs(suffix_dedup._keyed(docs)).count()
+    monkeypatch.setattr(suffix_dedup, "_runs", counted)
+    assert suffix_dedup.removed(spark, docs).where("n_removed > 0").count() == 20
+    assert 0 < once == seen.value
